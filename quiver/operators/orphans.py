@@ -1,9 +1,9 @@
 """References to records that do not exist, are deleted or arrive later.
 
-Parent and child keys are brought into one long form ``(graph_id, key, day, ...)`` and grouped by parent key and
-day. Partial aggregation does the work before the shuffle, so a key that a third of all edges point to costs each
-task one row a day. The groups give every day's opening balance of live parent rows; groups that certainly have a
-live parent are dropped, and only the rest meets the edges again.
+Parent and child keys are brought into one long form and grouped by parent key. Partial aggregation does the work
+before the shuffle, so a key that a third of all edges point to costs each task one row. Groups that certainly have a
+live parent whenever they are used are dropped, and only the rest meets the edges again. Where parents were deleted
+meanwhile, running balances of live rows by key and day decide, so that no key's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def _events(nodes: DataFrame) -> DataFrame:
     end = F.struct(deleted.alias("at"), F.lit(-1).alias("live"), F.lit(0).alias("loads"))
     both = F.when(deleted.isNotNull() & was_live, F.array(load, end)).otherwise(F.array(load))
     return (
-        nodes.select("graph_id", F.col("id").alias("key"), F.explode(both).alias("e"))
+        nodes.select("graph_id", "key", F.explode(both).alias("e"))
         .select("graph_id", "key", "e.at", "e.live", "e.loads")
         .groupBy("graph_id", "key", "at")
         .agg(F.sum("live").alias("live"), F.sum("loads").alias("loads"))
@@ -72,17 +72,59 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     time the earliest ``loaded_at``. A null ``loaded_at`` counts as earlier than every other time, null graph
     ids equal each other, and further columns of the inputs are not read. Empty tables give no rows.
     """
-    children, events = _children(edges), _events(nodes)
+    children = _children(edges)
+    uses = children.select("graph_id", "key", F.lit(0).alias("parent"), F.col("t").alias("used"))
+    parents = nodes.select(
+        "graph_id", F.col("id").alias("key"), F.lit(1).alias("parent"), _time("loaded_at").alias("loaded"), "deleted_at"
+    )
+    lacking = (
+        uses.unionByName(parents, allowMissingColumns=True)
+        .groupBy("graph_id", "key")
+        .agg(
+            F.max("parent").alias("parent"),
+            F.min("used").alias("used"),
+            F.min("loaded").alias("loaded"),
+            F.max(F.col("deleted_at").isNotNull()).alias("ends"),
+        )
+        .where(F.col("used").isNotNull() & ((F.col("parent") == 0) | (F.col("loaded") > F.col("used")) | F.col("ends")))
+        .drop("used")
+    )
+    suspects = (
+        children.alias("c")
+        .join(lacking.alias("g"), _same_key("c", "g"))
+        .select("c.*", "g.parent", "g.loaded", "g.ends")
+    )
+    # parents that never end: only the first load matters
+    lasting = suspects.where(~F.col("ends")).select(
+        *_EDGE, "side", F.when(F.col("parent") == 0, "missing").when(F.col("loaded") > F.col("t"), "late").alias("state"), "t"
+    )
+    ending = lacking.where("ends").select("graph_id", "key")
+    swept = _sweep(
+        suspects.where("ends").select(*children.columns),
+        _events(nodes.select("graph_id", F.col("id").alias("key"), "loaded_at", "deleted_at").alias("c").join(ending.alias("g"), _same_key("c", "g"), "left_semi")),
+    )
+    return lasting.unionByName(swept).where(F.col("state").isNotNull())
+
+
+def _same_key(left: str, right: str, *also: str) -> Column:
+    """Same graph (nulls equal each other), key and further columns."""
+    same = F.col(f"{left}.graph_id").eqNullSafe(F.col(f"{right}.graph_id"))
+    for c in ("key", *also):
+        same = same & (F.col(f"{left}.{c}") == F.col(f"{right}.{c}"))
+    return same
+
+
+def _sweep(children: DataFrame, events: DataFrame) -> DataFrame:
+    """State of uses of parents that were deleted at some time, from running balances by key and day."""
     long = children.select(
-        "graph_id", "key", "day", F.lit(0).alias("live"), F.lit(0).alias("loads"), F.lit(0).alias("changes"), F.lit(1).alias("uses")
+        "graph_id", "key", "day", *[F.lit(0).alias(c) for c in ("live", "loads", "changes")], F.lit(1).alias("uses")
     ).unionByName(
         events.select("graph_id", "key", "day", "live", "loads", F.lit(1).alias("changes"), F.lit(0).alias("uses"))
     )
     days = long.groupBy("graph_id", "key", "day").agg(
         *[F.sum(c).alias(c) for c in ("live", "loads", "changes", "uses")]
     )
-    whole = Window.partitionBy("graph_id", "key")
-    before = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("graph_id", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     groups = days.select(
         "graph_id",
         "key",
@@ -91,47 +133,32 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "uses",
         F.coalesce(F.sum("live").over(before), F.lit(0)).alias("live_before"),
         F.coalesce(F.sum("loads").over(before), F.lit(0)).alias("loads_before"),
-        F.sum("loads").over(whole).alias("parents"),
-    )
-    lacking = groups.where((F.col("uses") > 0) & ((F.col("changes") > 0) | (F.col("live_before") == 0))).drop("uses")
-
-    def on(left: str, right: str) -> Column:
-        return (
-            F.col(f"{left}.graph_id").eqNullSafe(F.col(f"{right}.graph_id"))
-            & (F.col(f"{left}.key") == F.col(f"{right}.key"))
-            & (F.col(f"{left}.day") == F.col(f"{right}.day"))
-        )
-
-    suspects = (
+    ).where((F.col("uses") > 0) & ((F.col("changes") > 0) | (F.col("live_before") == 0)))
+    uses = (
         children.alias("c")
-        .join(lacking.alias("g"), on("c", "g"))
-        .select("c.*", "g.changes", "g.live_before", "g.loads_before", "g.parents")
+        .join(groups.alias("g"), _same_key("c", "g", "day"))
+        .select("c.*", "g.changes", "g.live_before", "g.loads_before")
     )
     # days without a change of the parent: the opening balance decides
-    settled = suspects.where("changes = 0").select(*children.columns, "live_before", "loads_before", "parents")
+    settled = uses.where("changes = 0").drop("changes")
     # days with a change: sweep over the day's changes and uses in order of time
-    moving = suspects.where("changes > 0").drop("changes")
-    sweep = Window.partitionBy("graph_id", "key", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    swept = (
-        moving.withColumns({"at": F.col("t"), "live": F.lit(0).cast("bigint"), "loads": F.lit(0).cast("bigint")})
+    upto = Window.partitionBy("graph_id", "key", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    moving = (
+        uses.where("changes > 0")
+        .drop("changes")
+        .withColumns({"at": F.col("t"), "live": F.lit(0).cast("bigint"), "loads": F.lit(0).cast("bigint")})
         .unionByName(events, allowMissingColumns=True)
         .withColumns(
             {
-                "live_before": F.col("live_before") + F.sum("live").over(sweep),
-                "loads_before": F.col("loads_before") + F.sum("loads").over(sweep),
+                "live_before": F.col("live_before") + F.sum("live").over(upto),
+                "loads_before": F.col("loads_before") + F.sum("loads").over(upto),
             }
         )
         .where(F.col("side").isNotNull())
         .select(*settled.columns)
     )
-    state = (
-        F.when(F.col("parents") == 0, "missing").when(F.col("loads_before") == 0, "late").otherwise("deleted")
-    )
-    return (
-        settled.unionByName(swept)
-        .where("live_before = 0")
-        .select(*_EDGE, "side", state.alias("state"), "t")
-    )
+    state = F.when(F.col("loads_before") == 0, "late").otherwise("deleted")
+    return settled.unionByName(moving).where("live_before = 0").select(*_EDGE, "side", state.alias("state"), "t")
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:
