@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import tokenizer
+from quiver.llm import pairs, tokenizer
 from quiver.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.documented_functions(table(spark, d, "nodes"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select("graph_id", "id")
+
+
+def p5_file_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.documented_functions_of_files(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+    "p5_file_pairs": p5_file_pairs,
     "p8_ids": p8_ids,
 }
 
