@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import pairs, tokenizer
+from quiver.llm import handwritten, pairs, tokenizer
 from quiver.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
 
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "documents"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_reasons(spark, d).select("doc_id")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.handwritten_rates(table(spark, d, "documents"))
+
+
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.documented_functions(table(spark, d, "nodes"))
 
@@ -29,6 +41,9 @@ def p5_file_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_reasons": p4_reasons,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p5_file_pairs": p5_file_pairs,
