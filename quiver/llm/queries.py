@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import handwritten, pairs, tokenizer
+from quiver.llm import handwritten, neighbours, pairs, tokenizer
 from quiver.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The current model of `node_embeddings` and the length of its vectors.
+MODEL, DIMENSIONS = "loom-mini#v3", 48
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = neighbours.usable_vectors(table(spark, d, "node_embeddings"), MODEL, DIMENSIONS)
+    return neighbours.nearest_neighbours(vectors)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(p6_neighbours(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -47,6 +60,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p5_file_pairs": p5_file_pairs,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p8_ids": p8_ids,
 }
 
