@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import handwritten, neighbours, pairs, tokenizer
+from quiver.llm import handwritten, leaks, neighbours, pairs, tokenizer
 from quiver.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def p5_file_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.documented_functions_of_files(table(spark, d, "documents"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).select("doc_id", "item_id").distinct()
+
+
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_reasons": p4_reasons,
@@ -63,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 SQL: dict[str, str] = {}
