@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiver.session import checkpointed
+
 #: Rows without a time count as loaded before every other row.
 _NO_TIME = "1900-01-01 00:00:00"
 
@@ -54,7 +56,7 @@ def _events(nodes: DataFrame) -> DataFrame:
     load = F.struct(loaded.alias("at"), F.when(was_live, 1).otherwise(0).alias("live"), F.lit(1).alias("loads"))
     end = F.struct(deleted.alias("at"), F.lit(-1).alias("live"), F.lit(0).alias("loads"))
     both = F.when(deleted.isNotNull() & was_live, F.array(load, end)).otherwise(F.array(load))
-    return (
+    return checkpointed(
         nodes.select("graph_id", "key", F.explode(both).alias("e"))
         .select("graph_id", "key", "e.at", "e.live", "e.loads")
         .groupBy("graph_id", "key", "at")
@@ -77,7 +79,7 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parents = nodes.select(
         "graph_id", F.col("id").alias("key"), F.lit(1).alias("parent"), _time("loaded_at").alias("loaded"), "deleted_at"
     )
-    lacking = (
+    lacking = checkpointed(
         uses.unionByName(parents, allowMissingColumns=True)
         .groupBy("graph_id", "key")
         .agg(
@@ -89,7 +91,7 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .where(F.col("used").isNotNull() & ((F.col("parent") == 0) | (F.col("loaded") > F.col("used")) | F.col("ends")))
         .drop("used")
     )
-    suspects = (
+    suspects = checkpointed(
         children.alias("c")
         .join(lacking.alias("g"), _same_key("c", "g"))
         .select("c.*", "g.parent", "g.loaded", "g.ends")
@@ -134,7 +136,7 @@ def _sweep(children: DataFrame, events: DataFrame) -> DataFrame:
         F.coalesce(F.sum("live").over(before), F.lit(0)).alias("live_before"),
         F.coalesce(F.sum("loads").over(before), F.lit(0)).alias("loads_before"),
     ).where((F.col("uses") > 0) & ((F.col("changes") > 0) | (F.col("live_before") == 0)))
-    uses = (
+    uses = checkpointed(
         children.alias("c")
         .join(groups.alias("g"), _same_key("c", "g", "day"))
         .select("c.*", "g.changes", "g.live_before", "g.loads_before")
