@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import handwritten, leaks, neighbours, pairs, tokenizer
+from quiver.llm import handwritten, leaks, neighbours, pairs, reading, tokenizer
 from quiver.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shares(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding(p10_levels(spark, d)).select("doc_id")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(table(spark, d, "documents"), p10_levels(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_reasons": p4_reasons,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
+    "p10_profile": p10_profile,
 }
 
 SQL: dict[str, str] = {}
