@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import handwritten, leaks, neighbours, pairs, reading, tokenizer
+from quiver.llm import handwritten, leaks, neighbours, pairs, reading, syntax, tokenizer
 from quiver.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "documents"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, d, "documents"), p2_found(spark, d))
+
+
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "documents"))
 
@@ -74,6 +82,8 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p4_found": p4_found,
     "p4_reasons": p4_reasons,
     "p4_rates": p4_rates,
