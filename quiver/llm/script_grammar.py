@@ -19,16 +19,19 @@ CONTEXTUAL = frozenset(
     private protected implements is keyof infer unique asserts satisfies override accessor out global target meta
     constructor require using any unknown never string number boolean object symbol undefined bigint""".split()
 )
+#: White space and line ends beyond ASCII.
+_BLANKS = "".join(map(chr, [0xFEFF, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+_LINES = chr(0x2028) + chr(0x2029)
 _TOKEN = re.compile(
-    r"""(?P<space>(?:[ \t\v\f\xa0﻿  -   　]+|//[^\n\r  ]*)+)
-    |(?P<line>[\n\r  ]\s*)
+    r"""(?P<space>(?:[ \t\v\f\xa0BLANKS]+|//[^\n\rLINES]*)+)
+    |(?P<line>[\n\rLINES]\s*)
     |(?P<name>(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
     |(?P<string>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')
     |(?P<number>0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?
        |\d+(?:_\d+)*n|(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)
     |(?P<comment>/\*[\s\S]*?\*/)
     |(?P<private>\#[^\W\d][\w$]*)
-    |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])""",
+    |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])""".replace("BLANKS", _BLANKS).replace("LINES", _LINES),
     re.X,
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[\w$]*")
