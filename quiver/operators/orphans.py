@@ -38,17 +38,28 @@ def _children(edges: DataFrame) -> DataFrame:
         .withColumn("t", _time("t"))
     )
     sides = F.array(
-        F.struct(F.lit("source").alias("side"), F.col("source").alias("key")),
-        F.struct(F.lit("target").alias("side"), F.col("target").alias("key")),
+        F.struct(F.lit("source").alias("side"), F.col("source").alias("key"), F.col("target").alias("other")),
+        F.struct(F.lit("target").alias("side"), F.col("target").alias("key"), F.col("source").alias("other")),
     )
     return (
-        distinct.withColumn("end", F.explode(sides))
-        .select(*_EDGE, "t", F.col("end.side").alias("side"), F.col("end.key").alias("key"))
+        distinct.select("graph_id", "rel_type", "t", F.explode(sides).alias("end"))
+        .select("graph_id", "rel_type", "t", "end.side", "end.key", "end.other")
         .where(F.col("key") != "")
-        .withColumn("day", F.to_date("t"))
     )
 
 
+def _edge() -> list[Column]:
+    """The edge's own columns, from its two ends."""
+    at_source = F.col("side") == "source"
+    return [
+        F.col("graph_id"),
+        F.when(at_source, F.col("key")).otherwise(F.col("other")).alias("source"),
+        F.when(at_source, F.col("other")).otherwise(F.col("key")).alias("target"),
+        F.col("rel_type"),
+        F.col("side"),
+    ]
+
+
 def _events(nodes: DataFrame) -> DataFrame:
     """A parent row as events: loaded (+1 live), and its end (-1 live) if it was ever live."""
     loaded, deleted = _time("loaded_at"), F.col("deleted_at")
@@ -98,11 +109,11 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     # parents that never end: only the first load matters
     lasting = suspects.where(~F.col("ends")).select(
-        *_EDGE, "side", F.when(F.col("parent") == 0, "missing").when(F.col("loaded") > F.col("t"), "late").alias("state"), "t"
+        *_edge(), F.when(F.col("parent") == 0, "missing").when(F.col("loaded") > F.col("t"), "late").alias("state"), "t"
     )
     ending = lacking.where("ends").select("graph_id", "key")
     swept = _sweep(
-        suspects.where("ends").select(*children.columns),
+        suspects.where("ends").select(*children.columns, F.to_date("t").alias("day")),
         _events(nodes.select("graph_id", F.col("id").alias("key"), "loaded_at", "deleted_at").alias("c").join(ending.alias("g"), _same_key("c", "g"), "left_semi")),
     )
     return lasting.unionByName(swept).where(F.col("state").isNotNull())
@@ -160,7 +171,7 @@ def _sweep(children: DataFrame, events: DataFrame) -> DataFrame:
         .select(*settled.columns)
     )
     state = F.when(F.col("loads_before") == 0, "late").otherwise("deleted")
-    return settled.unionByName(moving).where("live_before = 0").select(*_EDGE, "side", state.alias("state"), "t")
+    return settled.unionByName(moving).where("live_before = 0").select(*_edge(), state.alias("state"), "t")
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:
