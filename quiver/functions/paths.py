@@ -103,8 +103,8 @@ def is_ignored(path: Column, patterns: Column) -> Column:
     name, parts = file_name(path), F.split(path, "/")
     hit = F.exists(
         patterns,
-        lambda p: F.when(F.startswith(p, F.lit("*")), name.rlike(glob_pattern(p))).otherwise(
-            F.array_contains(parts, p) | name.rlike(glob_pattern(p))
+        lambda p: F.when(F.startswith(p, F.lit("*")), F.regexp_like(name, glob_pattern(p))).otherwise(
+            F.array_contains(parts, p) | F.regexp_like(name, glob_pattern(p))
         ),
     )
     return F.coalesce(hit, F.lit(False))

@@ -63,7 +63,7 @@ def assign_modules(files: DataFrame, modules: DataFrame, column: str = "file_pat
     """
     f, m = files.alias("f"), modules.alias("m")
     path = F.col(f"f.{column}")
-    matches = lambda globs: F.exists(globs, lambda g: path.rlike(paths.glob_pattern(g)))
+    matches = lambda globs: F.exists(globs, lambda g: F.regexp_like(path, paths.glob_pattern(g)))
     excluded = matches(F.coalesce(F.col("m.exclude"), F.array().cast("array<string>")))
     hit = f.join(m, matches(F.col("m.paths")) & ~excluded, "left")
     keys = [F.col(f"f.{c}") for c in files.columns]
