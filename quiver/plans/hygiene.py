@@ -251,14 +251,14 @@ a AS (SELECT DISTINCT graph_id, directory AS child, 'directory' AS kind FROM h U
 SELECT graph_id, child, {folder('child')} AS parent, kind, (len(string_split(child, '/')) - 1)::INTEGER AS depth FROM a""",
     "web_weights": _F + f"SELECT graph_id, sf, tf, n, {_DEEP} AS violation FROM pairs WHERE NOT {peripheral('sf')}",
     "placement_rank": _F
-    + f""", k AS (SELECT graph_id || '/' || sf AS item, {_MODULE.format(p='f.file_path')} AS rm FROM pairs p LEFT JOIN f ON f.graph_id = p.graph_id AND f.file_path = p.tf),
+    + f""", k AS (SELECT p.graph_id || '/' || sf AS item, {_MODULE.format(p='f.file_path')} AS rm FROM pairs p LEFT JOIN f ON f.graph_id = p.graph_id AND f.file_path = p.tf),
 c AS (SELECT * FROM (VALUES ('glue'), ('sources'), ('library'), ('scripts')) v(module)),
 a AS (SELECT * FROM (VALUES ('glue', '*'), ('sources', 'sources'), ('library', 'sources')) v(module, target)),
 s AS (SELECT item, c.module, count(*) FILTER (rm IS NOT NULL AND rm <> c.module AND a.module IS NULL) AS violations, count(*) FILTER (rm IS NULL) AS unknowns, count(*) FILTER (rm = c.module) AS co_located
   FROM k CROSS JOIN c LEFT JOIN a ON a.module = c.module AND a.target = rm GROUP BY ALL),
 q AS (SELECT *, round(-violations - 0.4::DOUBLE * unknowns + 0.25::DOUBLE * co_located, 6) AS score FROM s)
 SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, violations, unknowns, module)::INTEGER AS place FROM q""",
-    "ignored_files": """SELECT doc_id, coalesce(len(list_filter(ignore_patterns, p -> list_contains(string_split(file_path, '/'), p) AND NOT starts_with(p, '*')
+    "ignored_files": """SELECT doc_id, coalesce(len(list_filter(ignore_patterns, lambda p: list_contains(string_split(file_path, '/'), p) AND NOT starts_with(p, '*')
    OR regexp_matches(split_part(file_path, '/', -1), '^' || replace(replace(p, '.', '\\.'), '*', '.*') || '$'))) > 0, false) AS ignored,
   coalesce(n_chars > max_file_size, false) AS too_large FROM documents LEFT JOIN analyzer_config USING (graph_id)""",
 }

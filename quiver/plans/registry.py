@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.plans import pipeline
+from quiver.plans import analytics, hygiene, lookups, pipeline, search, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (pipeline,)
+_MODULES = (lookups, hygiene, analytics, search, sync, pipeline)
 
 
 def queries() -> dict[str, Query]:
