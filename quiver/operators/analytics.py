@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions import paths
 from quiver.operators.traverse import steps
-from quiver.session import checkpointed
+from quiver.session import checkpointed_in_loop as checkpointed
 
 
 def simple(edges: DataFrame) -> DataFrame:

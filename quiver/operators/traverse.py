@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.operators.lookups import both_ways
-from quiver.session import checkpointed
+from quiver.session import checkpointed_in_loop as checkpointed
 
 _KEY = ["graph_id", "seed", "id"]
 

@@ -34,3 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Number of partitions a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def checkpointed_in_loop(df: DataFrame) -> DataFrame:
+    """`checkpointed` for the tables of an iteration.
+
+    A checkpoint keeps the size that the optimiser guessed for its plan. Guesses of joins are products, so from round to
+    round they get more digits, until planning takes longer than the work. Here the files are scanned afresh, as a table
+    of unknown size.
+    """
+    spark, kept = df.sparkSession, checkpointed(df)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
