@@ -148,8 +148,10 @@ def _jsx_element(text: str, pos: int) -> int:
                 raise Broken("empty braces in a tag")
         else:
             parser = Parser(tokens, True, True)
-            if parser.peek() == "..." and (spread or empty):
-                parser.next()
+            if spread:
+                parser.need("...")
+            elif empty:
+                parser.eat("...")
             parser.flags |= {"async"}
             parser.expression()
             parser.at_end()
