@@ -24,25 +24,14 @@ def _time(column: str) -> Column:
 
 
 def _children(edges: DataFrame) -> DataFrame:
-    """One row per distinct edge and non-empty end point, `t` being the edge's earliest load."""
-    distinct = (
-        edges.select(
-            "graph_id",
-            F.coalesce("source", F.lit("")).alias("source"),
-            F.coalesce("target", F.lit("")).alias("target"),
-            "rel_type",
-            F.col("loaded_at").alias("t"),
-        )
-        .groupBy(*_EDGE)
-        .agg(F.min("t").alias("t"))
-        .withColumn("t", _time("t"))
-    )
+    """One row per edge row and non-empty end point; an edge's repeated rows are still apart."""
+    source, target = F.coalesce("source", F.lit("")), F.coalesce("target", F.lit(""))
     sides = F.array(
-        F.struct(F.lit("source").alias("side"), F.col("source").alias("key"), F.col("target").alias("other")),
-        F.struct(F.lit("target").alias("side"), F.col("target").alias("key"), F.col("source").alias("other")),
+        F.struct(F.lit("source").alias("side"), source.alias("key"), target.alias("other")),
+        F.struct(F.lit("target").alias("side"), target.alias("key"), source.alias("other")),
     )
     return (
-        distinct.select("graph_id", "rel_type", "t", F.explode(sides).alias("end"))
+        edges.select("graph_id", "rel_type", F.col("loaded_at").alias("t"), F.explode(sides).alias("end"))
         .select("graph_id", "rel_type", "t", "end.side", "end.key", "end.other")
         .where(F.col("key") != "")
     )
@@ -86,7 +75,7 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids equal each other, and further columns of the inputs are not read. Empty tables give no rows.
     """
     children = _children(edges)
-    uses = children.select("graph_id", "key", F.lit(0).alias("parent"), F.col("t").alias("used"))
+    uses = children.select("graph_id", "key", F.lit(0).alias("parent"), _time("t").alias("used"))
     parents = nodes.select(
         "graph_id", F.col("id").alias("key"), F.lit(1).alias("parent"), _time("loaded_at").alias("loaded"), "deleted_at"
     )
@@ -102,10 +91,14 @@ def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .where(F.col("used").isNotNull() & ((F.col("parent") == 0) | (F.col("loaded") > F.col("used")) | F.col("ends")))
         .drop("used")
     )
+    about = ["parent", "loaded", "ends"]
     suspects = checkpointed(
         children.alias("c")
         .join(lacking.alias("g"), _same_key("c", "g"))
-        .select("c.*", "g.parent", "g.loaded", "g.ends")
+        .select("c.*", *[f"g.{c}" for c in about])
+        .groupBy(*[c for c in children.columns if c != "t"], *about)
+        .agg(F.min("t").alias("t"))  # an edge's time is that of its earliest row
+        .withColumn("t", _time("t"))
     )
     # parents that never end: only the first load matters
     lasting = suspects.where(~F.col("ends")).select(
