@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from quiver.operators import incremental
 from quiver.operators import sync as Y
 from quiver.sources import facts
 from quiver.streaming import debounce
-from quiver.session import table
+from quiver.session import shared_folder, table
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +62,7 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def streaming_debounce(spark: SparkSession, d: str) -> DataFrame:
     """The same by a stream over the table as a feed, closed batches only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quiver-stream-")
-    folder = f"{base}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     _events(spark, d).write.parquet(f"{folder}/feed")
     feed = debounce.change_feed(spark, f"{folder}/feed", "key bigint, ts timestamp", 1000)
     return debounce.run_available(debounce.debounced(feed), f"{folder}/out", f"{folder}/state")
