@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.functions import paths
 from quiver.operators.graph import current_edges, current_nodes, has_label, relative
+from quiver.session import checkpointed
 
 
 def is_precise() -> Column:
@@ -30,15 +33,24 @@ def _ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class FileDependencies:
-    """Views over one state of a graph; every one is a lazy plan.
+    """Views over one state of a graph.
 
-    `nodes` and `edges` are the raw tables, `projects` gives the repository roots.
+    `nodes` and `edges` are the raw tables, `projects` gives the repository roots. The current nodes and the edges that
+    can make a dependency are worked out once and kept in the shared folder, as every view reads them several times; the
+    views themselves are lazy plans.
     """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, projects: DataFrame) -> None:
-        self.nodes = relative(current_nodes(nodes, "labels", "file_path", "resolved_source"), projects)
-        self.edges = current_edges(edges, "resolved_by", "from_module")
-        self.projects = projects
+        self._raw_nodes, self._raw_edges, self.projects = nodes, edges, projects
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return checkpointed(relative(current_nodes(self._raw_nodes, "labels", "file_path", "resolved_source"), self.projects))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        telling = F.col("rel_type").isin("REFERENCES", "CALLS", "IMPORTS", "IMPORTS_SYMBOL")
+        return checkpointed(current_edges(self._raw_edges.where(telling), "resolved_by", "from_module"))
 
     def precise(self) -> DataFrame:
         """Pairs of files from compiler-resolved edges, one row for each edge."""
