@@ -100,4 +100,15 @@ QUERIES: dict[str, Query] = {
     "p10_profile": p10_profile,
 }
 
-SQL: dict[str, str] = {}
+_NEAREST = f"""
+WITH u AS (
+  SELECT vec_id, vector::DOUBLE[] AS v FROM node_embeddings
+  WHERE model = '{MODEL}' AND len(vector) = {DIMENSIONS} AND list_aggregate(vector, 'sum') IS NOT NULL
+    AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) <= 5)
+"""
+
+SQL: dict[str, str] = {
+    "p6_found": _NEAREST + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM t",
+}
