@@ -232,6 +232,11 @@ SELECT graph_id, seed, id, depth, (coalesce(shared, 0) + 1)::DOUBLE AS score FRO
   WHERE len(t.path) <= 3 AND NOT list_contains(t.path, s.next))
 SELECT * FROM t WHERE len(path) > 1""",
     "expand_k": _R + _walk("t", "both_", 2, False) + "SELECT * FROM t",
+    "components": _R
+    + """, r AS (SELECT graph_id, id, next FROM both_ UNION SELECT r.graph_id, r.id, b.next FROM r JOIN both_ b ON b.graph_id = r.graph_id AND b.id = r.next),
+i AS (SELECT graph_id, id FROM n UNION SELECT graph_id, id FROM both_),
+m AS (SELECT graph_id, id, min(next) AS low FROM r GROUP BY ALL)
+SELECT graph_id, id, least(id, coalesce(low, id)) AS component FROM i LEFT JOIN m USING (graph_id, id)""",
     "canonical_ids": _G + _CANON + "SELECT * FROM canon",
     "fan_in": _G + "SELECT graph_id, target AS id, count(*) AS n FROM pair GROUP BY ALL",
     "fan_out": _G + "SELECT graph_id, source AS id, count(*) AS n FROM pair GROUP BY ALL",
