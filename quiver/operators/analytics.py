@@ -152,49 +152,97 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return graphs.join(q, "graph_id", "left")
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
+def _moves(weights: DataFrame, label: DataFrame, seed: int) -> DataFrame | None:
+    """Moves of units (graph_id, unit, to) that together raise modularity; None if no move of a single unit does.
+
+    Every unit names the community of its neighbours with the greatest gain, the least label among equals, or one of its
+    own. Gains are exact: 2 m links - degrees, in whole numbers. A community either gives or takes, by its best move. Of
+    the moves left those are made that are the best for both their ends, or gain more than all others at these ends can
+    take from them (the product of degrees for each); so the sum of what is made is more than zero, whatever moves at once.
+    """
+    near = weights.where("id <> next").join(label.select("graph_id", F.col("unit").alias("next"), "c", "tot"), ["graph_id", "next"])
+    links = near.groupBy("graph_id", F.col("id").alias("unit"), "c").agg(F.sum("w").alias("links"), F.first("tot").alias("there"))
+    own = label.select("graph_id", "unit", "k", "m2", F.col("c").alias("own"), "tot")
+    options = own.join(links, ["graph_id", "unit"], "left")
+    here = F.col("c") == F.col("own")
+    gain = F.col("links") * F.col("m2") - F.when(here, F.col("there") - F.col("k")).otherwise(F.col("there")) * F.col("k")
+    best = options.withColumn("gain", gain).groupBy("graph_id", "unit", "own", "k", "tot").agg(
+        F.min(F.when(F.col("c").isNotNull(), F.struct((-F.col("gain")).alias("g"), "c"))).alias("b"),
+        F.coalesce(F.max(F.when(here, F.col("gain"))), (F.col("k") - F.col("tot")) * F.col("k")).alias("stay"),
+    )
+    join = F.coalesce(-F.col("b.g"), F.lit(-1))
+    turn = F.lit(f"\0{seed}:")  # text, as a number would be compiled into new code each round
+    alone = F.concat(turn, "unit")  # a label that no community has
+    up = F.greatest(join, F.lit(0)) - F.col("stay")
+    priority = F.struct(up.alias("up"), F.xxhash64("unit", turn).alias("h"), "unit")
+    wanted = checkpointed(best.where(up > 0).select("graph_id", "unit", "k", "own", F.when(join >= 0, F.col("b.c")).otherwise(alone).alias("to"), priority.alias("p")))
+    if wanted.isEmpty():
+        return None
+    none = F.lit(None).cast(wanted.schema["p"].dataType)
+    zero = F.lit(0).cast("bigint")
+    ends = wanted.select("graph_id", F.col("own").alias("c"), F.col("p").alias("gives"), none.alias("takes"), F.col("k").alias("out"), zero.alias("in")).union(
+        wanted.select("graph_id", "to", none, "p", zero, "k")
+    )
+    side = ends.groupBy("graph_id", "c").agg(F.max("gives").alias("gives"), F.max("takes").alias("takes"), F.sum("out").alias("out"), F.sum("in").alias("in"))
+    giver = side.where("takes is null or gives > takes").select("graph_id", F.col("c").alias("own"), "gives", "out")
+    taker = side.where("gives is null or takes > gives").select("graph_id", F.col("c").alias("to"), "takes", "in")
+    both = wanted.join(giver, ["graph_id", "own"]).join(taker, ["graph_id", "to"])
+    first = (F.col("p") == F.col("gives")) & (F.col("p") == F.col("takes"))
+    sure = F.col("p.up") > F.col("k") * (F.col("out") + F.col("in") - 2 * F.col("k"))
+    return both.where(first | sure).select("graph_id", "unit", "to")
+
+
+def _settled(weights: DataFrame, label: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels (graph_id, unit, k, m2, c) from which no move of a single unit raises modularity; whether any was made."""
+    busy, seed = label, 0
+    while True:
+        with_sums = busy.join(busy.groupBy("graph_id", "c").agg(F.sum("k").alias("tot")), ["graph_id", "c"])
+        moves = _moves(weights, with_sums, seed)
+        if moves is None:
+            return label, seed > 0
+        now = label.join(moves, ["graph_id", "unit"], "left")
+        now = checkpointed(now.select("graph_id", "unit", "k", "m2", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+        label, seed = now.drop("moved"), seed + 1
+        busy = label.join(now.where("moved").select("graph_id"), "graph_id", "left_semi")  # graphs without a move rest
+
+
+def louvain(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Communities by moves that raise modularity, then of the communities: ``graph_id, id, community`` (least member).
 
-    Deterministic: in each round half of the ids, by hash, look at the communities of their neighbours and take the one
-    with the greatest gain, the least label among equals, if it is better than their own; so no two ids swap for ever.
-    Nodes of a graph without edges form one community.
+    Rounds go on until no unit wants to move, levels until no two communities want to merge, and both start again from
+    the ids with what was found until no id wants to move either; nothing is counted. In the result no move of a single
+    id, to another community or to one of its own, and no merger of two communities raises modularity. Every round
+    raises it (see `_moves`), so there is an end. Deterministic. Nodes of a graph without edges form one community.
     """
-    weights = checkpointed(undirected(edges).withColumn("w", F.lit(1.0)))
-    m2 = checkpointed(weights.groupBy("graph_id").agg(F.sum("w").alias("m2")))
+    base = checkpointed(undirected(edges).withColumn("w", F.lit(1).cast("bigint")))
+    m2 = checkpointed(base.groupBy("graph_id").agg(F.sum("w").alias("m2")))
     member = checkpointed(nodes.select("graph_id", "id", F.col("id").alias("unit")))
-    for level in range(levels):
-        units = weights.groupBy("graph_id", F.col("id").alias("unit")).agg(F.sum("w").alias("k"))
-        label = checkpointed(units.withColumn("c", F.col("unit")))
-        moved_any = False
-        for r in range(rounds):
-            total = label.groupBy("graph_id", "c").agg(F.sum("k").alias("tot"))
-            near = weights.where("id <> next").join(label.select("graph_id", F.col("unit").alias("next"), "c"), ["graph_id", "next"])
-            links = near.groupBy("graph_id", F.col("id").alias("unit"), "c").agg(F.sum("w").alias("links"))
-            own = label.select("graph_id", "unit", "k", F.col("c").alias("own"))
-            options = links.join(own, ["graph_id", "unit"]).join(total, ["graph_id", "c"]).join(m2, "graph_id")
-            out = F.when(F.col("c") == F.col("own"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
-            gain = F.round(F.col("links") - out * F.col("k") / F.col("m2"), 9)
-            ranked = options.select("graph_id", "unit", "own", "c", gain.alias("gain"))
-            best = ranked.groupBy("graph_id", "unit", "own").agg(
-                F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"),
-                F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"),
-            )
-            turn = F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(2)) == r % 2
-            moves = best.where(turn & (-F.col("b.g") > F.coalesce("stay", F.lit(0.0)))).select("graph_id", "unit", F.col("b.c").alias("to"))
-            new = checkpointed(label.join(moves, ["graph_id", "unit"], "left").select("graph_id", "unit", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("m")))
-            moved = not new.where("m").isEmpty()
-            label = new.drop("m")
-            moved_any = moved_any or moved
-            if not moved and r:
+    fresh = True
+    while True:
+        weights, level = base, 0
+        while True:
+            units = weights.groupBy("graph_id", F.col("id").alias("unit")).agg(F.sum("w").alias("k")).join(m2, "graph_id")
+            if level or fresh:
+                start = units.withColumn("c", F.col("unit"))
+            else:
+                start = units.join(member.select("graph_id", F.col("id").alias("unit"), F.col("unit").alias("c")), ["graph_id", "unit"])
+            label, moved = _settled(weights, checkpointed(start))
+            if not moved and (level or not fresh):
                 break
-        if not moved_any:
+            to = checkpointed(label.select("graph_id", "unit", "c"))
+            if level:
+                member = member.join(to, ["graph_id", "unit"], "left").select("graph_id", "id", F.coalesce("c", "unit").alias("unit"))
+            else:
+                member = member.join(to.withColumnRenamed("unit", "id"), ["graph_id", "id"], "left").select("graph_id", "id", F.coalesce("c", "unit").alias("unit"))
+            member = checkpointed(member)
+            a, b = to.withColumnsRenamed({"unit": "id", "c": "ca"}), to.withColumnsRenamed({"unit": "next", "c": "cb"})
+            weights = checkpointed(
+                weights.join(a, ["graph_id", "id"]).join(b, ["graph_id", "next"]).groupBy("graph_id", F.col("ca").alias("id"), F.col("cb").alias("next")).agg(F.sum("w").alias("w"))
+            )
+            level += 1
+        if level <= 1:
             break
-        to = label.select("graph_id", "unit", "c")
-        member = checkpointed(member.join(to, ["graph_id", "unit"], "left").select("graph_id", "id", F.coalesce("c", "unit").alias("unit")))
-        a, b = to.withColumnsRenamed({"unit": "id", "c": "ca"}), to.withColumnsRenamed({"unit": "next", "c": "cb"})
-        weights = checkpointed(
-            weights.join(a, ["graph_id", "id"]).join(b, ["graph_id", "next"]).groupBy("graph_id", F.col("ca").alias("id"), F.col("cb").alias("next")).agg(F.sum("w").alias("w"))
-        )
+        fresh = False
     names = member.groupBy("graph_id", "unit").agg(F.min("id").alias("community"))
     out = member.join(names, ["graph_id", "unit"])
     empty = nodes.join(m2, "graph_id", "left_anti").groupBy("graph_id").agg(F.min("id").alias("only"))

@@ -1,5 +1,6 @@
 """Graph state, dependencies, rules, traversal, analytics, search and sync on small cases."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -128,6 +129,29 @@ def test_louvain_finds_two_groups(spark):
     assert {r.community for r in alone.collect()} == {"a"}
 
 
+def test_louvain_leaves_no_move_that_raises_modularity(spark):
+    dice = random.Random(5)
+    linked = {tuple(sorted(dice.sample(range(120), 2))) for _ in range(300)}
+    n = nodes(spark, [(f"n{x}", "CodeFunction", "f", None, False) for x in range(120)])
+    found = analytics.louvain(edges(spark, [(f"n{a}", f"n{b}", "CALLS", None) for a, b in linked]), n)
+    of = {int(r.id[1:]): r.community for r in found.collect()}
+    near = {x: [b if a == x else a for a, b in linked if x in (a, b)] for x in range(120)}
+    m2 = 2 * len(linked)
+
+    def raised(some, to):
+        """4 m^2 times what modularity gains if `some`, all of one community, go to the community `to`."""
+        k = sum(len(near[x]) for x in some)
+        rest = {c: [x for x in of if of[x] == c and x not in some] for c in (of[some[0]], to)}
+        links = {c: sum(y in rest[c] for x in some for y in near[x]) for c in rest}
+        return (links[to] - links[of[some[0]]]) * m2 - k * sum(len(near[x]) for x in rest[to]) + k * sum(len(near[x]) for x in rest[of[some[0]]])
+
+    names = set(of.values())
+    moves = [([x], to) for x in of if near[x] for to in {*names, "alone"} - {of[x]}]
+    mergers = [([x for x in of if of[x] == c], to) for c in names for to in names - {c}]
+    assert 2 < len(names) < 40
+    assert not [(some, to) for some, to in moves + mergers if raised(some, to) > 0]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "The settings file, the settings FILE."), (2, "settings of a file"), (3, None), (4, "")], "doc_id bigint, text string")
     q = spark.createDataFrame([("settings file",), (" ",)], "query string")
