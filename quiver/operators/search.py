@@ -68,12 +68,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     Queries are what is asked at once, a bounded table; every vector is scored in the scan and only the best of each
     salted part go on.
     """
+    return top(cosines(vectors, queries, "vec_id"), ["query_id"], [F.desc("score"), F.col("vec_id")], n, "vec_id")
+
+
+def cosines(vectors: DataFrame, queries: DataFrame, *kept: str) -> DataFrame:
+    """Cosine of every vector (v and the `kept` columns) and every query vector (query_id, v), a few rows:
+    ``query_id, *kept, score``."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    a = vectors.withColumn("na", norm).where("na > 0").select("vec_id", F.col("v").alias("a"), "na")
+    a = vectors.withColumn("na", norm).where("na > 0").select(*kept, F.col("v").alias("a"), "na")
     b = F.broadcast(queries.withColumn("nb", norm).where("nb > 0").select("query_id", F.col("v").alias("b"), "nb"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = a.join(b, F.size("a") == F.size("b")).select("query_id", "vec_id", F.round(dot / F.col("na") / F.col("nb"), 6).alias("score"))
-    return top(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], n, "vec_id")
+    return a.join(b, F.size("a") == F.size("b")).select("query_id", *kept, F.round(dot / F.col("na") / F.col("nb"), 6).alias("score"))
 
 
 def rrf(semantic: DataFrame, keyword: DataFrame, key: str, n: int) -> DataFrame:
@@ -101,16 +106,20 @@ def symbol_search(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.join(best, ["query", "graph_id", "tier"], "left_semi")
 
 
-def find_equivalent(hits: DataFrame, nodes: DataFrame, wanted: tuple[str, ...], hint: str, n: int) -> DataFrame:
-    """Re-rank vector hits (query_id, graph_id, id, score): only nodes with a wanted label, and 0.1 more for those whose
-    module's words are all in the hint, if the hint is qualified (has a dot or slash)."""
+def find_equivalent(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, wanted: tuple[str, ...], hint: str, n: int) -> DataFrame:
+    """The `n` nodes nearest to each query vector (query_id, v) among those with a wanted label, with 0.1 more for those
+    whose module's words are all in the hint, if the hint is qualified (has a dot or slash).
+
+    `vectors` are (graph_id, id, v). Every vector of a wanted node is scored, bonus included, before the best are taken.
+    """
     word = lambda c: F.array_distinct(terms(c))
-    rows = hits.join(nodes.where(F.arrays_overlap("labels", F.array(*map(F.lit, wanted)))).select("graph_id", "id", "module"), ["graph_id", "id"])
+    rows = vectors.join(nodes.where(F.arrays_overlap("labels", F.array(*map(F.lit, wanted)))).select("graph_id", "id", "module"), ["graph_id", "id"])
     qualified = "." in hint or "/" in hint
     module = word(F.col("module"))
     inside = (F.size(module) > 0) & (F.size(F.array_except(module, word(F.lit(hint)))) == 0)
     bonus = F.when(inside, 0.1).otherwise(0.0) if qualified else F.lit(0.0)
-    scored = rows.select("query_id", "graph_id", "id", F.round(F.col("score") + bonus, 6).alias("score"))
+    rows = cosines(rows.withColumn("bonus", bonus), queries, "graph_id", "id", "bonus")
+    scored = rows.select("query_id", "graph_id", "id", F.round(F.col("score") + F.col("bonus"), 6).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col("graph_id"), F.col("id")], n, "id")
 
 

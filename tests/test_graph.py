@@ -1,5 +1,6 @@
 """Graph state, dependencies, rules, traversal, analytics, search and sync on small cases."""
 
+import math
 import random
 from datetime import datetime
 
@@ -164,6 +165,19 @@ def test_search(spark):
     assert (hit.id, hit.score) == ("m.save", 900)
 
 
+def test_find_equivalent_scores_every_wanted_node(spark):
+    # 60 files are nearer than any function, and the functions of the hint's module are the farthest
+    rows = [(f"file{x}", ["CodeFile"], "m.file", [1.0, x / 1000]) for x in range(60)]
+    rows += [(f"f{x:02}", ["CodeFunction"], "pkg.near" if x < 60 else "pkg.hinted", [1.0, 0.1 + x / 1000]) for x in range(80)]
+    n = spark.createDataFrame([("g", i, labels, module) for i, labels, module, _ in rows], "graph_id string, id string, labels array<string>, module string")
+    v = spark.createDataFrame([("g", i, x) for i, _, _, x in rows], "graph_id string, id string, v array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, v array<double>")
+    score = {i: round(round(1 / math.hypot(*x), 6) + 0.1 * (module == "pkg.hinted"), 6) for i, labels, module, x in rows if "CodeFunction" in labels}
+    want = sorted(score.items(), key=lambda s: (-s[1], s[0]))[:25]
+    got = search.find_equivalent(v, q, n, ("CodeFunction",), "pkg.hinted", 25).orderBy("place").collect()
+    assert [(r.id, r.score) for r in got] == want and {i for i, _ in want} > {f"f{x}" for x in range(60, 80)}
+
+
 def test_store(spark):
     schema = "graph_id string, id string, labels array<string>, file_path string, is_external boolean, properties string, loaded_at timestamp"
     stub = spark.createDataFrame([("g", "x", ["CodeImport"], None, True, "{}", T)], schema)
