@@ -417,7 +417,7 @@ def _expand(named: DataFrame, several: DataFrame, best: DataFrame, k: int) -> Da
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     none = F.array().cast("array<struct<c:double,o:bigint>>")
     # a class of several has a row even where no other class is near
-    marked = several.join(best, "least", "full_outer").withColumn("near", F.coalesce("near", none))
+    marked = checkpointed(several.join(best, "least", "full_outer").withColumn("near", F.coalesce("near", none)))  # read twice
     alone = marked.where("ids is null").select(F.col("least").alias("vec_id"), "near")
     own = F.transform(F.filter("ids", lambda i: i != F.col("vec_id")), lambda o: F.struct(F.lit(-1.0).alias("c"), o.alias("o")))
     shared = (
