@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies.
 
-Links are cut into fragments, one a partition. Inside a fragment every chain of parents is followed to the id where
-it leaves the fragment (its exit). Exits that are children elsewhere form a smaller quotient forest, which is solved
-the same way, and the fragments' paths are expanded with its result. A chain that never leaves its fragment is a
-local cycle; a cycle over several fragments is one in the quotient. No group of rows is collected by key, and a
-fragment holds at most `FRAGMENT_ROWS` links.
+Links are cut into fragments, ranges of ids, one a partition. Inside a fragment every chain of parents is followed to
+the id where it leaves the fragment (its exit). Exits that are children elsewhere form a smaller quotient forest, which
+is solved the same way until it fits one fragment, and the fragments' chains and paths are expanded with its result. A
+chain that never leaves its fragment is a local cycle; a cycle over several fragments is one in the quotient. No group
+of rows is collected by key, and a fragment holds about `FRAGMENT_ROWS` links at most.
 """
 
 from __future__ import annotations
@@ -19,39 +19,43 @@ from pyspark.sql import functions as F
 
 from quiver.session import checkpointed, checkpointed_in_loop, width
 
-#: Links that one task contracts at once (some 200 bytes each).
-FRAGMENT_ROWS = 500_000
+#: Links that one task contracts at once (some 200 bytes each), and ids of paths that it hands on at once.
+FRAGMENT_ROWS, PATH_IDS = 200_000, 500_000
 
 _SCHEMA = "graph_id string, id string, exit string, steps bigint, cyclic boolean"
 
 
+def _codes(links: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of the children and the parents, the same for equal ids of a graph, and how many there are."""
+    ids, _ = pd.factorize(pd.concat([links.id, links.parent], ignore_index=True))
+    graphs, names = pd.factorize(links.graph_id, use_na_sentinel=False)
+    codes, distinct = pd.factorize(np.concatenate([graphs, graphs]) + ids * np.int64(len(names)))
+    return codes[: len(links)], codes[len(links) :], len(distinct)
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follow all chains of one fragment to their exits by pointer doubling over arrays."""
     parts = list(batches)
     if not parts or not sum(map(len, parts)):
         return
     links = pd.concat(parts, ignore_index=True)
-    n = len(links)
-    both = pd.MultiIndex.from_arrays(
-        [pd.concat([links.graph_id, links.graph_id]), pd.concat([links.id, links.parent])]
-    )
-    codes, _ = pd.factorize(both)
-    child, parent = codes[:n], codes[n:]
-    size = int(codes.max()) + 1
-    row_of = np.full(size, -1)
-    row_of[child] = np.arange(n)
-    is_exit = row_of < 0
+    child, parent, size = _codes(links)
+    is_exit = np.ones(size, dtype=bool)
+    is_exit[child] = False
     to, steps = np.arange(size), np.zeros(size, dtype=np.int64)
     to[child], steps[child] = parent, links.steps.to_numpy(dtype=np.int64)
     cyclic = np.zeros(size, dtype=bool)
     cyclic[child] = links.cyclic.to_numpy(dtype=bool)
     for _ in range(max(1, math.ceil(math.log2(size + 1))) + 1):
-        steps, cyclic, to = steps + steps[to], cyclic | cyclic[to], to[to]
+        further = to[to]
+        if (further == to).all():
+            break
+        steps, cyclic, to = steps + steps[to], cyclic | cyclic[to], further
         steps = np.minimum(steps, np.int64(1) << 60)  # only chains on cycles come this far
     at = to[child]
     cyclic = cyclic[child] | ~is_exit[at]
     names = np.empty(size, dtype=object)
-    names[codes] = np.concatenate([links.id.to_numpy(dtype=object), links.parent.to_numpy(dtype=object)])
+    names[child], names[parent] = links.id.to_numpy(dtype=object), links.parent.to_numpy(dtype=object)
     yield pd.DataFrame(
         {
             "graph_id": links.graph_id,
@@ -100,26 +104,32 @@ def _doubled(links: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def _solve(links: DataFrame, fragment_rows: int, level: int = 0) -> DataFrame:
+def _fragments(links: DataFrame, rows: int, fragment_rows: int, first: bool) -> DataFrame:
+    """Links in ranges of ids: neighbours in order mostly share their first segments, hence their ancestors."""
+    parts = max(math.ceil(rows / fragment_rows), width(links.sparkSession) if first else 1)
+    return links.repartitionByRange(parts, "graph_id", "id") if parts > 1 else links.coalesce(1)
+
+
+def _crossing(local: DataFrame, leaving: DataFrame) -> DataFrame:
+    """Rows of the ids at which the chains of `leaving` arrive: the quotient."""
+    exits = leaving.select("graph_id", F.col("exit").alias("id")).distinct()
+    return checkpointed(local.alias("l").join(exits.alias("x"), _same("l", "id", "x", "id"), "left_semi"))
+
+
+def _solve(links: DataFrame, rows: int, fragment_rows: int, first: bool = True) -> DataFrame:
     """`links` (graph_id, id, parent, steps, cyclic) to (graph_id, id, exit, steps, cyclic), exits being roots."""
-    rows = links.count()
-    fragments = math.ceil(rows / fragment_rows)
-    if fragments <= 1:
-        return links.coalesce(1).mapInPandas(_contract, _SCHEMA)
-    # ids next to each other in order mostly share their first segments, hence their ancestors
-    parts = max(fragments, width(links.sparkSession) if level == 0 else 1)
-    local = checkpointed(links.repartitionByRange(parts, "graph_id", "id").mapInPandas(_contract, _SCHEMA))
-    exits = local.where(~F.col("cyclic")).select("graph_id", F.col("exit").alias("id")).distinct()
-    quotient = checkpointed(
-        local.alias("l").join(exits.alias("x"), _same("l", "id", "x", "id"), "left_semi")
-    )
+    local = _fragments(links, rows, fragment_rows, first).mapInPandas(_contract, _SCHEMA)
+    if not first and rows <= fragment_rows:  # the last quotient: no chain leaves it
+        return local
+    local = checkpointed(local)
+    quotient = _crossing(local, local.where(~F.col("cyclic")))
     left = quotient.count()
     if left == 0:
         return local
-    if level and left > rows // 2:
+    if not first and left > rows // 2:
         solved = _doubled(quotient, left)
     else:
-        solved = _solve(quotient.withColumnRenamed("exit", "parent"), fragment_rows, level + 1)
+        solved = _solve(quotient.withColumnRenamed("exit", "parent"), left, fragment_rows, False)
     joined = local.alias("l").join(solved.alias("s"), _same("l", "exit", "s", "id"), "left")
     cyclic = F.col("l.cyclic") | F.coalesce("s.cyclic", F.lit(False))
     return joined.select(
@@ -134,7 +144,7 @@ def _solve(links: DataFrame, fragment_rows: int, level: int = 0) -> DataFrame:
 def parent_links(edges: DataFrame, relations: tuple[str, ...] = ("CONTAINS", "DEFINES")) -> DataFrame:
     """Distinct (graph_id, parent, id) of the given relations, both ends neither null nor empty.
 
-    An id with several parents, which sound data don't have, keeps the least one.
+    An id with several parents, which sound data don't have, keeps the least one; `further_parents` names the others.
     """
     usable = F.col("rel_type").isin(*relations) & (F.col("source") != "") & (F.col("target") != "")
     return (
@@ -144,6 +154,14 @@ def parent_links(edges: DataFrame, relations: tuple[str, ...] = ("CONTAINS", "DE
     )
 
 
+def further_parents(edges: DataFrame, relations: tuple[str, ...] = ("CONTAINS", "DEFINES")) -> DataFrame:
+    """The links that `parent_links` leaves out, as their child has a lesser parent: ``graph_id, parent, id``."""
+    usable = F.col("rel_type").isin(*relations) & (F.col("source") != "") & (F.col("target") != "")
+    links = edges.where(usable).select("graph_id", F.col("target").alias("id"), F.col("source").alias("parent")).distinct()
+    kept = parent_links(edges, relations)
+    return links.alias("l").join(kept.alias("k"), _same("l", "id", "k", "id")).where("l.parent <> k.parent").select("l.graph_id", "l.parent", "l.id")
+
+
 def hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
     """Root and depth of every id that `links` (graph_id, parent, id) name.
 
@@ -152,7 +170,7 @@ def hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame
     links count once. An empty input gives no rows.
     """
     links = checkpointed(links.select("graph_id", "id", "parent"))
-    solved = _solve(links.withColumns({"steps": F.lit(1).cast("bigint"), "cyclic": F.lit(False)}), fragment_rows)
+    solved = _solve(links.withColumns({"steps": F.lit(1).cast("bigint"), "cyclic": F.lit(False)}), links.count(), fragment_rows)
     children = links.select("graph_id", "id")
     roots = (
         links.select("graph_id", F.col("parent").alias("id")).distinct().alias("p")
@@ -166,53 +184,73 @@ def hierarchy(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame
 
 
 def _fragment_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ids of the way from each node up to its fragment's exit, the node first, the exit left out."""
+    """Ids of the way from below the fragment's exit down to each node: one walk through the fragment's trees, whose
+    stack is the way of the node it stands at."""
     parts = list(batches)
     if not parts or not sum(map(len, parts)):
         return
     links = pd.concat(parts, ignore_index=True)
-    up = {(g, i): p for g, i, p in zip(links.graph_id, links.id, links.parent)}
-    ways, exits = [], []
-    for g, i in zip(links.graph_id, links.id):
-        way = []
-        while (g, i) in up:
-            way.append(i)
-            i = up[g, i]
-        ways.append(way)
-        exits.append(i)
-    yield pd.DataFrame({"graph_id": links.graph_id, "id": links.id, "exit": exits, "way": ways})
+    child, parent, size = _codes(links)
+    row_of = np.full(size, -1)
+    row_of[child] = np.arange(len(links))
+    order = np.argsort(parent, kind="stable")
+    first = np.searchsorted(parent[order], np.arange(size), side="left").tolist()
+    last = np.searchsorted(parent[order], np.arange(size), side="right").tolist()
+    below, code, names, graphs = order.tolist(), child.tolist(), links.id.tolist(), links.graph_id.tolist()
+    above = links.parent.tolist()
+    out: list[tuple] = []
+    held = 0
+    for top in np.unique(parent[row_of[parent] < 0]).tolist():
+        way: list[str] = []
+        todo = [(r, 0) for r in below[first[top] : last[top]]]
+        leads = above[todo[0][0]]
+        while todo:
+            r, depth = todo.pop()
+            del way[depth:]
+            way.append(names[r])
+            out.append((graphs[r], names[r], leads, list(way)))
+            held += len(way)
+            if held >= PATH_IDS:
+                yield pd.DataFrame(out, columns=["graph_id", "id", "exit", "way"])
+                out, held = [], 0
+            c = code[r]
+            todo += [(x, depth + 1) for x in below[first[c] : last[c]]]
+    if out:
+        yield pd.DataFrame(out, columns=["graph_id", "id", "exit", "way"])
 
 
 def hierarchy_paths(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
     """Path of every node that has a root: ``graph_id, node_id, root_id, depth, path`` (ids, root first).
 
-    Nodes on or below a cycle have no path and are left out; `hierarchy` names them.
+    Nodes on or below a cycle have no path and are left out; `hierarchy` names them. The result holds an id for each
+    node and ancestor; nothing else grows with depth.
     """
     known = checkpointed(hierarchy(links, fragment_rows))
     sound = known.where("depth > 0").select("graph_id", "node_id")
-    tree = (
-        links.select("graph_id", "id", "parent").alias("l")
-        .join(sound.alias("k"), _same("l", "id", "k", "node_id"), "left_semi")
+    tree = checkpointed(
+        links.select("graph_id", "id", "parent").alias("l").join(sound.alias("k"), _same("l", "id", "k", "node_id"), "left_semi")
+    )
+    local = checkpointed(
+        _fragments(tree, tree.count(), fragment_rows, True).mapInPandas(_fragment_paths, "graph_id string, id string, exit string, way array<string>")
     )
-    fragments = max(1, math.ceil(tree.count() / fragment_rows))
-    tree = tree.coalesce(1) if fragments == 1 else tree.repartitionByRange(fragments, "graph_id", "id")
-    ways = checkpointed(tree.mapInPandas(_fragment_paths, "graph_id string, id string, exit string, way array<string>"))
-    whole = ways
-    while fragments > 1:
-        nxt = whole.alias("a").join(ways.alias("b"), _same("a", "exit", "b", "id"), "left")
-        whole = checkpointed_in_loop(
+    quotient = _crossing(local, local)
+    while True:  # the ways of the quotient double in length
+        nxt = quotient.alias("a").join(quotient.alias("b"), _same("a", "exit", "b", "id"), "left")
+        longer = checkpointed_in_loop(
             nxt.select(
                 "a.graph_id",
                 "a.id",
                 F.coalesce("b.exit", "a.exit").alias("exit"),
-                F.concat("a.way", F.coalesce("b.way", F.array().cast("array<string>"))).alias("way"),
+                F.concat(F.coalesce("b.way", F.array().cast("array<string>")), "a.way").alias("way"),
                 F.col("b.id").isNotNull().alias("moved"),
             )
         )
-        if whole.where("moved").isEmpty():
+        quotient = longer.drop("moved")
+        if longer.where("moved").isEmpty():
             break
-    full = F.concat(F.array("exit"), F.reverse("way"))
-    below = whole.select("graph_id", F.col("id").alias("node_id"), F.col("exit").alias("root_id"), F.size("way").alias("depth"), full.alias("path"))
+    joined = local.alias("l").join(quotient.alias("q"), _same("l", "exit", "q", "id"), "left")
+    root, way = F.coalesce("q.exit", "l.exit"), F.concat(F.coalesce("q.way", F.array().cast("array<string>")), "l.way")
+    below = joined.select("l.graph_id", F.col("l.id").alias("node_id"), root.alias("root_id"), F.size(way).alias("depth"), F.concat(F.array(root), way).alias("path"))
     roots = known.where("depth = 0").withColumn("path", F.array("node_id"))
     return below.unionByName(roots)
 

@@ -45,6 +45,10 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return tree.descendant_counts(tree.descendants(p7_paths(spark, d)))
 
 
+def p7_further_parents(spark: SparkSession, d: str) -> DataFrame:
+    return tree.further_parents(table(spark, d, "edges"))
+
+
 _P1 = """
 WITH e AS (
   SELECT graph_id, coalesce(source, '') AS source, coalesce(target, '') AS target, rel_type, min(loaded_at) AS t
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_paths": p7_paths,
     "p7_descendants": p7_descendants,
+    "p7_further_parents": p7_further_parents,
 }
 
 SQL: dict[str, str] = {
@@ -105,6 +110,8 @@ WHERE settled IS DISTINCT FROM content_hash""",
 SELECT ids.graph_id, ids.id AS node_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth
 FROM ids LEFT JOIN t ON t.graph_id = ids.graph_id AND t.node_id = ids.id""",
     "p7_paths": _P7 + "SELECT graph_id, node_id, root_id, depth::INTEGER AS depth, path FROM t",
+    "p7_further_parents": """SELECT DISTINCT graph_id, source AS parent, target AS id FROM edges WHERE rel_type IN ('CONTAINS', 'DEFINES') AND source <> '' AND target <> ''
+QUALIFY source <> min(source) OVER (PARTITION BY graph_id, target)""",
     "p7_descendants": _P7 + """,
 d AS (
   SELECT graph_id, depth, unnest(path[1:-2]) AS ancestor_id, unnest(range(len(path) - 1)) AS pos FROM t WHERE depth > 0)

@@ -121,3 +121,30 @@ def test_parent_links_leave_out_unusable_ends(spark):
     links = hierarchy.parent_links(spark.createDataFrame(rows, "graph_id string, source string, target string, rel_type string"))
     assert [tuple(r) for r in links.collect()] == [("g", "b", "a")]
     assert hierarchy.hierarchy(links.limit(0)).count() == 0
+
+
+def test_hierarchy_of_a_long_chain_and_a_broad_root(spark):
+    n = 1_000_000
+    ids = spark.range(n).select(F.lit("g").alias("graph_id"), F.format_string("n%07d", "id").alias("parent"), F.format_string("n%07d", F.col("id") + 1).alias("id"))
+    got = hierarchy.hierarchy(ids).agg(F.count("*"), F.max("depth"), F.count_distinct("root_id"), F.sum("depth")).first()
+    assert tuple(got) == (n + 1, n, 1, n * (n + 1) // 2)
+    # ids in no order, so that a chain crosses fragments at almost every step
+    mixed = spark.range(20_000).select(F.lit("g").alias("graph_id"), F.sha2(F.col("id").cast("string"), 256).alias("parent"), F.sha2((F.col("id") + 1).cast("string"), 256).alias("id"))
+    got = hierarchy.hierarchy(mixed, 3_000).agg(F.count("*"), F.max("depth"), F.count_distinct("root_id")).first()
+    assert tuple(got) == (20_001, 20_000, 1)
+    broad = spark.range(60_000).select(F.lit(None).cast("string").alias("graph_id"), F.when(F.col("id") % 3 == 0, "top").otherwise(F.concat(F.lit("m"), F.col("id") % 3, F.lit("-"), F.floor(F.col("id") / 30))).alias("parent"), F.concat(F.lit("x"), "id").alias("id"))
+    paths = hierarchy.hierarchy_paths(broad, 5_000)
+    assert paths.where("root_id = 'top' and depth = 1").count() == 20_000 and paths.where("size(path) <> depth + 1").isEmpty()
+
+
+def test_quotient_is_joined_at_every_size(spark, capsys):
+    links = spark.createDataFrame([("g", f"n{i // 2:04}", f"n{i:04}") for i in range(1, 2000)], "graph_id string, parent string, id string")
+    hierarchy.hierarchy(links).explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and plan.count("MapInPandas") == 1  # that of the quotient; the fragments are written down
+
+
+def test_further_parents_are_named(spark):
+    rows = [("g", "a", "c", "CONTAINS"), ("g", "b", "c", "DEFINES"), ("g", "b", "c", "CONTAINS"), ("h", "b", "c", "DEFINES"), (None, "p", "q", "DEFINES"), (None, "o", "q", "DEFINES")]
+    edges = spark.createDataFrame(rows, "graph_id string, source string, target string, rel_type string")
+    assert sorted(map(str, map(tuple, hierarchy.further_parents(edges).collect()))) == sorted(map(str, [("g", "b", "c"), (None, "p", "q")]))
