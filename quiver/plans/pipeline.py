@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiver.operators import hierarchy as tree
 from quiver.operators import incremental, orphans
-from quiver.session import table
+from quiver.session import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +27,25 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(p1_all(spark, d))
 
 
+def _pending(spark: SparkSession, d: str, limits: list[int | None]) -> DataFrame:
+    """The work list by a job that has run up to each of `limits` before, the last one being open."""
+    hashes, runs, log = table(spark, d, "file_hashes"), table(spark, d, "sync_runs"), table(spark, d, "sync_log")
+    job = incremental.IncrementalJob(spark, f"{shared_folder(spark)}/p3-{uuid.uuid4().hex}", "place")
+    upper = hashes.agg(F.max("indexed_at")).first()[0]
+    for limit in limits:
+        settled = incremental.settled_state(job, runs, log, limit)
+    return incremental.pending_files(hashes, settled, upper)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.pending_files(table(spark, d, "file_hashes"), table(spark, d, "sync_runs"), table(spark, d, "sync_log"))
+    """A job of its own, so its first run: everything up to the limit is above the watermark."""
+    return _pending(spark, d, [None])
+
+
+def p3_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a job that has committed a third and two thirds of the runs before, and now reads the rest."""
+    places = table(spark, d, "sync_runs").select(F.unix_micros("started_at").alias("p")).where("p is not null").approxQuantile("p", [1 / 3, 2 / 3], 0.01)
+    return _pending(spark, d, [*(int(p) for p in places), None])
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
     "p3_found": p3_found,
+    "p3_resumed": p3_resumed,
     "p7_found": p7_found,
     "p7_paths": p7_paths,
     "p7_descendants": p7_descendants,
@@ -117,3 +137,4 @@ d AS (
   SELECT graph_id, depth, unnest(path[1:-2]) AS ancestor_id, unnest(range(len(path) - 1)) AS pos FROM t WHERE depth > 0)
 SELECT graph_id, ancestor_id, count(*) AS descendants, max(depth - pos)::INTEGER AS height FROM d GROUP BY ALL""",
 }
+SQL["p3_resumed"] = SQL["p3_found"]

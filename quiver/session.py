@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table `name` below `directory`, read lazily."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -15,15 +20,19 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset and the master is plain ``local`` is a temporary folder made; a cluster without a shared
-    folder is refused, as its executors could not read each other's files.
+    Only where that is unset and the master is plain ``local`` is a temporary folder made, one for the application, which
+    goes with the process; a cluster without a shared folder is refused, as its executors could not read each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
         if not master.startswith("local[") and master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quiver-")
+        name = spark.sparkContext.applicationId
+        if name not in _TEMPORARY:
+            _TEMPORARY[name] = tempfile.mkdtemp(prefix="quiver-")
+            atexit.register(shutil.rmtree, _TEMPORARY[name], ignore_errors=True)
+        folder = _TEMPORARY[name]
     return folder
 
 

@@ -64,10 +64,50 @@ def test_pending_files(spark):
         [(1, "g", "a", "1", at(1)), (2, "g", "a", "2", at(6)), (1, "g", "b", "1", at(1)), (3, "g", "e", "a", at(7))],
         "run_id bigint, graph_id string, file_path string, content_hash string, processed_at timestamp",
     )
-    got = {(r.file_path, r.content_hash) for r in incremental.pending_files(hashes, runs, log).collect()}
+    settled = incremental.settled_hashes(runs, log)
+    got = {(r.file_path, r.content_hash) for r in incremental.pending_files(hashes, settled).collect()}
     assert got == {("a", "2"), ("d", "7"), ("e", "A")}
-    assert {r.file_path for r in incremental.pending_files(hashes, runs, log, upper=at(3)).collect()} == {"d", "e"}
-    assert incremental.pending_files(hashes.limit(0), runs, log).count() == 0
+    assert {r.file_path for r in incremental.pending_files(hashes, settled, upper=at(3)).collect()} == {"d", "e"}
+    assert incremental.pending_files(hashes.limit(0), settled).count() == 0
+
+
+def test_settled_state_waits_for_open_runs_and_reads_only_what_is_new(spark, tmp_path):
+    at = lambda h: T0 + timedelta(hours=h)
+    runs_of = lambda *rows: spark.createDataFrame(rows, "run_id bigint, graph_id string, started_at timestamp, status string")
+    log_of = lambda *rows: spark.createDataFrame([(r, "g", f, h, at(r)) for r, f, h in rows], "run_id bigint, graph_id string, file_path string, content_hash string, processed_at timestamp")
+    state = lambda job, *tables: {r.file_path: r.settled for r in incremental.settled_state(job, *tables).collect()}
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"), "place")
+    log = log_of((1, "a", "1"), (2, "a", "2"), (2, "b", "1"), (3, "a", "3"), (4, "c", "1"))
+    runs = [(1, "g", at(1), "ok"), (2, "g", at(2), "running"), (3, "g", at(3), "ok"), (4, "g", at(4), "failed")]
+    assert state(job, runs_of(*runs), log) == {"a": "3"}
+    first = job.last()
+    # run 2 succeeds late: it started before run 3, so a stays, and b must not be missed
+    runs[1] = (2, "g", at(2), "ok")
+    assert state(job, runs_of(*runs), log) == {"a": "3", "b": "1"}
+    assert job.last()["low"] == first["high"]
+    # what is committed isn't read again
+    assert state(job, runs_of(*runs), log.where("run_id > 3")) == {"a": "3", "b": "1"}
+    for n in range(5, 5 + incremental.MOST_OUTPUTS + 3):
+        runs.append((n, "g", at(n), "ok"))
+        assert state(job, runs_of(*runs), log_of((n, "a", str(n))))["a"] == str(n)
+    assert len(job.last()["outputs"]) <= incremental.MOST_OUTPUTS + 1
+
+
+def test_two_jobs_at_once_commit_once(spark, tmp_path):
+    one, other = (incremental.IncrementalJob(spark, str(tmp_path / "job"), "seq") for _ in range(2))
+    rows = spark.range(5).withColumnRenamed("id", "seq")
+
+    def overtaken(d):
+        other.run(rows, lambda x: x)
+        return d
+
+    with pytest.raises(RuntimeError, match="another run"):
+        one.run(rows, overtaken)
+    assert sorted(r.seq for r in one.output().collect()) == list(range(5))
+    assert one.run(rows.withColumn("seq", F.col("seq") + 3), lambda d: d)["low"] == 4
+    assert sorted(r.seq for r in other.output().collect()) == list(range(8))
+    with pytest.raises(ValueError):
+        one.run(rows.select(F.lit(None).cast("bigint").alias("seq")), lambda d: d)
 
 
 def test_incremental_job_is_exactly_once(spark, tmp_path):
