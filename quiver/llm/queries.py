@@ -37,6 +37,10 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.broken_rates(table(spark, d, "documents"), p2_found(spark, d))
 
 
+def p2_undecided(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.undecided_files(table(spark, d, "documents"))
+
+
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "documents"))
 
@@ -84,6 +88,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p2_undecided": p2_undecided,
     "p4_found": p4_found,
     "p4_reasons": p4_reasons,
     "p4_rates": p4_rates,

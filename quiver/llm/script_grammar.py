@@ -34,7 +34,7 @@ _TOKEN = re.compile(
     |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])""".replace("BLANKS", _BLANKS).replace("LINES", _LINES),
     re.X,
 )
-_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[\w$]*")
+_REGEX = re.compile(r"/(?![*/])((?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+)/([\w$]*)")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 _JSX_SPACE = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*)*")
 _JSX_NAME = re.compile(r"[^\W\d][\w$-]*(?:(?::|\.)[\w$-]+)*")
@@ -52,35 +52,108 @@ class Broken(Exception):
     """The text doesn't parse."""
 
 
-def lex(text: str, jsx: bool, pos: int = 0, until_brace: bool = False) -> tuple[list[str], int]:
-    """Token classes of `text` from `pos`; a class on a new line starts with a line feed. With `until_brace` it ends
-    before the brace that closes what was open before `pos`. Returns the position reached."""
-    out: list[str] = []
-    stack: list[str] = []
-    new_line, n, match = False, len(text), _TOKEN.match
+def _regex_sound(body: str) -> bool:
+    """Whether groups and classes of a regular expression end, and nothing is repeated at its start or after a bar."""
+    depth, i, fresh = 0, 0, True
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i, fresh = i + 2, False
+            continue
+        if c == "[":
+            i += 1
+            while body[i] != "]":
+                i += 2 if body[i] == "\\" else 1
+            fresh = False
+        elif c == "(":
+            depth, fresh = depth + 1, True
+            m = _GROUP.match(body, i)
+            if not m:
+                return False
+            i = m.end()
+            continue
+        elif c == ")":
+            depth, fresh = depth - 1, False
+            if depth < 0:
+                return False
+        elif c == "|":
+            fresh = True
+        elif c in "*+?":
+            if fresh:
+                return False
+        else:
+            fresh = False
+        i += 1
+    return depth == 0
+
+
+_GROUP = re.compile(r"\((?:\?(?::|=|!|<=|<!|<[^\W\d][\w$]*>|[ims]*(?:-[ims]+)?:))?(?!\?)")
+_ESCAPES = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:[0-9a-fA-F]{1,5}|10[0-9a-fA-F]{4})\}))")
+_ODD_NUMBER = re.compile(r"0\d+n|0[0-7]+\.\d|0\d*_")
+
+
+def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool = False, pos: int = 0) -> int:
+    """Read a piece of a script into `e`: `found` are token classes; a class on a new line starts with a line feed.
+
+    States are pairs: code, a block comment, or a template (`a` opened, `b` gone on with after a brace; with a line feed
+    if it started a line), or code that doesn't start a line (`-`); and the last class, as far as it tells what a slash means. On the stack are open brackets,
+    and ``$`` for a part of a template. With `until_brace` reading ends before the brace that closes what was open
+    before. Returns the position reached; `e` tells what is wrong or can't be told without what follows.
+    """
+    mode, last = state
+    jsx, out, n, match = ending == "tsx", e.found, len(text), _TOKEN.match
+    new_line = pos == 0 and mode != "-"
+    mode = "" if mode == "-" else mode
     if pos == 0 and text.startswith("#!"):
         pos = len(text.split("\n", 1)[0])
-    last = ";"
+
+    def leave(reason: str = "", rest: int = n) -> int:
+        e.bad, e.rest, e.opens = reason, text[rest:], stack
+        e.state = (mode, last if last in ("}", ";") else ";" if last in _BEFORE_OPERAND else "i")
+        return rest
+
+    if mode == "/*":
+        end = text.find("*/", pos)
+        if end < 0:
+            return leave()
+        new_line, pos, mode = True, end + 2, ""
+    elif mode:
+        m = _TEMPLATE.match(text, pos)
+        if not m:
+            return leave()
+        inner = m.group(1) == "${"
+        last = ("`{" if inner else "``") if mode[1] == "a" else ("}`{" if inner else "}`")
+        if inner:
+            stack.append("$")
+        out.append("\n" + last if mode.endswith("\n") else last)
+        new_line, pos, mode = False, m.end(), ""
     while pos < n:
         c = text[pos]
         if c == "/" and last in _BEFORE_OPERAND and text[pos + 1 : pos + 2] not in ("/", "*"):
             m = _REGEX.match(text, pos)
             if m:
-                last = "/r/"
-                out.append("\n/r/" if new_line else last)
-                new_line, pos = False, m.end()
-                continue
-            if last not in ("}", "++", "--"):
-                raise Broken("regular expression without end")
+                body, flags = m.group(1), m.group(2)
+                if not _regex_sound(body) or len(set(flags)) < len(flags) or set(flags) - set("dgimsuvy"):
+                    if last not in ("}", "++", "--"):
+                        return leave("regular expression that can't be read")
+                else:
+                    last = "/r/"
+                    out.append("\n/r/" if new_line else last)
+                    new_line, pos = False, m.end()
+                    continue
+            elif last not in ("}", "++", "--"):
+                return leave("regular expression without end")
         elif c == "`" or (c == "}" and stack and stack[-1] == "$"):
             m = _TEMPLATE.match(text, pos + 1)
+            if c == "}":
+                stack.pop()
             if not m:
-                raise Broken("template without end")
+                mode = ("`a" if c == "`" else "`b") + ("\n" if new_line else "")
+                return leave()
             inner = m.group(1) == "${"
             if c == "`":
                 last = "`{" if inner else "``"
             else:
-                stack.pop()
                 last = "}`{" if inner else "}`"
             if inner:
                 stack.append("$")
@@ -88,14 +161,25 @@ def lex(text: str, jsx: bool, pos: int = 0, until_brace: bool = False) -> tuple[
             new_line, pos = False, m.end()
             continue
         elif jsx and c == "<" and last in _BEFORE_OPERAND and re.match(r"<(?:>|[^\W\d][\w$.:-]*(?:\s|/?>))", text[pos : pos + 80]) and not re.match(r"<[^\W\d]\w*(?:\s*,|\s+extends\s)", text[pos : pos + 80]):
-            pos = _jsx_element(text, pos)
+            try:
+                pos = _jsx_element(text, pos)
+            except Broken:
+                mode = "" if new_line else "-"
+                return leave("", pos)  # it may go on in the next piece
             last = "J"
             out.append("\nJ" if new_line else last)
             new_line = False
             continue
+        elif c == "<" and ending == "js" and text.startswith("<!--", pos):
+            end = text.find("\n", pos)  # scripts know this comment
+            pos = n if end < 0 else end
+            continue
+        elif c == "/" and text.startswith("/*", pos) and text.find("*/", pos + 2) < 0:
+            mode = "/*"
+            return leave()
         m = match(text, pos)
         if m is None:
-            raise Broken(f"stray character {c!r}")
+            return leave(f"stray character {c!r}")
         kind = m.lastgroup
         end = m.end()
         if kind == "space":
@@ -118,21 +202,44 @@ def lex(text: str, jsx: bool, pos: int = 0, until_brace: bool = False) -> tuple[
             elif last in ")}]":
                 if not stack:
                     if until_brace and last == "}":
-                        return out, pos
-                    raise Broken(f"{last} without its opening")
-                if {"(": ")", "{": "}", "[": "]"}.get(stack.pop()) != last:
-                    raise Broken(f"{last} closes another bracket")
+                        return leave("", pos)
+                    e.closes.append(last)
+                elif _MATCHES.get(stack.pop()) != last:
+                    return leave(f"{last} closes another bracket")
         elif kind == "number":
             last = "0"
             if text[end : end + 1].isidentifier() or text[end : end + 1] in ("$", "\\"):
-                raise Broken("name right after a number")
+                return leave("name right after a number")
+            if c == "0" and _ODD_NUMBER.match(text, pos):
+                return leave("number that can't be read")
         else:
             last = '"' if kind == "string" else "#"
+            if kind == "string" and "\\" in m.group() and _ESCAPES.search(m.group().replace("\\\\", "")):
+                return leave("escape that can't be read")
         out.append("\n" + last if new_line else last)
         new_line, pos = False, end
-    if stack or until_brace:
-        raise Broken("bracket without its end")
-    return out, pos
+    return leave()
+
+
+_MATCHES = {"(": ")", "{": "}", "[": "]"}
+
+
+class _Found:
+    """What `read` leaves of a text that is read as one."""
+
+    __slots__ = ("state", "closes", "opens", "found", "bad", "rest")
+
+    def __init__(self) -> None:
+        self.closes, self.found = [], []
+
+
+def lex(text: str, ending: str, pos: int = 0, until_brace: bool = False) -> tuple[list[str], int]:
+    """Token classes of `text` from `pos`, and the position reached."""
+    e = _Found()
+    at = read(text, ending, ("", ";"), [], e, until_brace, pos)
+    if e.bad or e.closes or e.opens or e.state[0] or (e.rest and not until_brace) or (until_brace and not e.rest.startswith("}")):
+        raise Broken(e.bad or "bracket, text or comment without its counterpart")
+    return e.found, at
 
 
 def _jsx_element(text: str, pos: int) -> int:
@@ -142,7 +249,7 @@ def _jsx_element(text: str, pos: int) -> int:
         return _JSX_SPACE.match(text, p).end()
 
     def braces(p: int, spread: bool, empty: bool) -> int:
-        tokens, end = lex(text, True, p, until_brace=True)
+        tokens, end = lex(text, "tsx", p, until_brace=True)
         if not tokens:
             if not empty:
                 raise Broken("empty braces in a tag")
@@ -152,7 +259,7 @@ def _jsx_element(text: str, pos: int) -> int:
                 parser.need("...")
             elif empty:
                 parser.eat("...")
-            parser.flags |= {"async"}
+            parser.flags |= {"async", "own", "constructor"}
             parser.expression()
             parser.at_end()
         return end + 1
@@ -231,6 +338,7 @@ class Parser:
         self.n, self.p = len(tokens), 0
         self.types, self.jsx = types, jsx
         self.flags = set(flags)
+        self.made = 0
         self.match: dict[int, int] = {}
         open_at: list[int] = []
         for i, t in enumerate(self.k):
@@ -325,7 +433,7 @@ class Parser:
                 if t == ";":
                     stop = i
                     break
-            if stop is None or stop - start > 120 or not self.known(start, stop, top):
+            if stop is None or k[stop] == "else" or stop - start > 120 or not self.known(start, stop, top):
                 self.p = start
                 self.statement(top)
                 if self.p > end:
@@ -358,9 +466,10 @@ class Parser:
         self.statements(end)
         self.need("}")
 
-    def function_body(self, is_async: bool, generator: bool) -> None:
+    def function_body(self, is_async: bool, generator: bool, also: frozenset | set = frozenset({"own"})) -> None:
+        """`also` tells what the body may name: `own` new.target, `constructor` a call of super."""
         kept = self.flags
-        self.flags = {"function"} | ({"async"} if is_async else set()) | ({"generator"} if generator else set())
+        self.flags = {"function"} | ({"async"} if is_async else set()) | ({"generator"} if generator else set()) | also
         self.block()
         self.flags = kept
 
@@ -532,11 +641,15 @@ class Parser:
             while self.eat(","):
                 self.type()
         self.need("{")
-        while not self.eat("}"):
-            if self.p >= self.n:
-                raise Broken("class without end")
-            if not self.eat(";"):
-                self.member()
+        kept, self.made = self.made, 0
+        try:
+            while not self.eat("}"):
+                if self.p >= self.n:
+                    raise Broken("class without end")
+                if not self.eat(";"):
+                    self.member()
+        finally:
+            self.made = kept
 
     def member(self) -> None:
         self.decorators()
@@ -562,6 +675,7 @@ class Parser:
         if self.types and self.peek() == "[" and self.is_name(self.k[self.p + 1]) and self.k[self.p + 2] == ":":
             self.index_signature()
             return self.semicolon()
+        makes = self.peek() == "constructor" and not static
         self.property_name()
         if self.types:
             self.eat("?") or self.eat("!")
@@ -569,23 +683,34 @@ class Parser:
             self.signature()
             if self.types and self.peek() != "{":
                 return self.semicolon()
-            return self.function_body(is_async, generator)
+            if makes:
+                self.made += 1
+                if self.made > 1:
+                    raise Broken("second constructor")
+            return self.function_body(is_async, generator, {"own", "constructor"} if makes else {"own"})
         if generator or is_async:
             raise Broken("method expected")
         if self.types and self.eat(":"):
             self.type()
         if self.eat("="):
-            kept, self.flags = self.flags, {"function"}
+            kept, self.flags = self.flags, {"function", "own"}
             self.assignment()
             self.flags = kept
         self.semicolon()
 
+    def inner(self) -> None:
+        """A statement that stands alone after a condition: no declaration."""
+        t = self.peek()
+        if t in ("const", "class") or (t == "let" and (self.k[self.p + 1] == "[" or (self.is_name(self.k[self.p + 1]) and self.raw[self.p + 1][0] != "\n"))):
+            raise Broken("declaration without a block")
+        self.statement()
+
     def if_(self, top: bool) -> None:
         self.p += 1
         self.condition()
-        self.statement()
+        self.inner()
         if self.eat("else"):
-            self.statement()
+            self.inner()
 
     def condition(self) -> None:
         self.need("(")
@@ -613,16 +738,16 @@ class Parser:
             if self.peek() != ")":
                 self.expression()
         self.need(")")
-        self.within({"loop"}, self.statement)
+        self.within({"loop"}, self.inner)
 
     def while_(self, top: bool) -> None:
         self.p += 1
         self.condition()
-        self.within({"loop"}, self.statement)
+        self.within({"loop"}, self.inner)
 
     def do_(self, top: bool) -> None:
         self.p += 1
-        self.within({"loop"}, self.statement)
+        self.within({"loop"}, self.inner)
         self.need("while")
         self.condition()
         self.eat(";")
@@ -1101,7 +1226,7 @@ class Parser:
         t = self.peek()
         if t == "yield" and "generator" in self.flags:
             self.p += 1
-            star = self.eat("*")
+            star = not self.new_line() and self.eat("*")
             if star or (not self.new_line() and self.peek() not in (")", "]", "}", ",", ";", ":", "")):
                 self.assignment(no_in)
             return
@@ -1158,11 +1283,12 @@ class Parser:
         if self.new_line():
             raise Broken("arrow on a new line")
         self.need("=>")
+        outer = self.flags & {"own", "constructor"}
         if self.peek() == "{":
-            self.function_body(is_async, False)
+            self.function_body(is_async, False, outer)
         else:
             kept = self.flags
-            self.flags = {"function"} | ({"async"} if is_async else set())
+            self.flags = {"function"} | ({"async"} if is_async else set()) | outer
             self.assignment(no_in)
             self.flags = kept
         return True
@@ -1243,6 +1369,8 @@ class Parser:
         self.need("new")
         if self.eat("."):
             self.need("target")
+            if "own" not in self.flags:
+                raise Broken("new.target outside a function")
             return
         if self.peek() == "new":
             self.new_()
@@ -1363,8 +1491,8 @@ class Parser:
             self.class_(False)
             return 0
         if t == "super":
-            if self.peek() not in ("(", ".", "["):
-                raise Broken("super alone")
+            if self.peek() not in ("(", ".", "[") or (self.peek() == "(" and "constructor" not in self.flags):
+                raise Broken("super out of place")
             return 0
         if t == "import":
             if self.eat("."):
@@ -1448,22 +1576,26 @@ _STATEMENTS = {
 _STARTS = frozenset(_STATEMENTS) - {"while", ";", "{"} | {"let", "async", "type", "interface", "declare", "abstract", "namespace", "enum"}
 
 
-def check(text: str, ending: str, whole: bool = False) -> str | None:
-    """Why a text doesn't parse in the language of the file ending (js, ts or tsx), or None if it does.
+def parse(tokens: list[str], ending: str, whole: bool = False) -> str:
+    """Why token classes that balance don't parse in the language of the file ending (js, ts or tsx), or ''.
 
-    With `whole` no kept verdict is used and the text is parsed as one.
+    Balanced statements are judged by the local grammars, each distinct one once. With `whole` no kept verdict is used.
+    Nesting beyond what can be followed raises RecursionError.
     """
-    types, jsx = ending in ("ts", "tsx"), ending == "tsx"
+    parser = Parser(tokens, ending in ("ts", "tsx"), ending == "tsx")
+    if whole:
+        parser.known = lambda *_: False
     try:
-        tokens, _ = lex(text, jsx)
-        if whole:
-            parser = Parser(tokens, types, jsx)
-            parser.known = lambda *_: False
-            parser.program()
-        else:
-            Parser(tokens, types, jsx).program()
+        parser.program()
+    except Broken as e:
+        return str(e)
+    return ""
+
+
+def check(text: str, ending: str, whole: bool = False) -> str | None:
+    """Why a text, read as one piece, doesn't parse, or None if it does."""
+    try:
+        tokens, _ = lex(text, ending)
     except Broken as e:
         return str(e)
-    except RecursionError:
-        return None  # nested deeper than can be followed: nothing wrong was found
-    return None
+    return parse(tokens, ending, whole) or None

@@ -2,15 +2,16 @@
 
 A file is cut into chunks at line ends. A chunk is summarised as a map: for each state that the lexer can be in at its
 start, the state at its end and the brackets that stay open or close something before it. Maps compose associatively,
-so the chunks of a long file are reduced in any grouping; a file whose brackets, strings and comments balance is then
-parsed statement by statement with local grammars.
+so chunks are reduced in any grouping, within a task or over several; the map of the file decides on brackets, strings
+and comments. A file in which they balance is parsed statement by statement with local grammars, which decide the rest.
 """
 
 from __future__ import annotations
 
 import ast
-import json
+import pickle
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -19,129 +20,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm import script_grammar
+from quiver.llm.chunk_maps import Entry, Piece, join, read, start, verdict
+
+#: Characters of a chunk, characters of a text from which its chunks are spread over tasks, chunks that such a task
+#: reduces at once, and parsed statements that a worker remembers.
+CHUNK, SPREAD, FANOUT, KEPT = 2_048, 1_000_000, 64, 50_000
+#: Calls that a grammar may nest.
+DEPTH = 20_000
+
+
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """The text in pieces of about `size` characters that end with a line, not with a line that a backslash continues."""
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at + size - 1) + 1
+        while end and text[end - 2 : end - 1] in ("\\", "\r"):
+            end = text.find("\n", end) + 1
+        end = end or len(text)
+        yield text[at:end]
+        at = end
+
+
+def clean(text: str, ending: str) -> str:
+    """The text as the lexers read it: without a byte order mark, and for Python with line feeds alone."""
+    text = text.removeprefix("\ufeff")
+    return text.replace("\r\n", "\n").replace("\r", "\n") if ending == "py" else text
 
-#: Characters of a chunk, chunks that are reduced together first, and parsed statements that a worker remembers.
-CHUNK, FANOUT, KEPT = 65_536, 64, 50_000
-
-_PY_SCAN = re.compile(
-    r"""\#[^\n]*|(?P<long>\"{3}|'{3})|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|(?P<bad>["'])|(?P<bracket>[()\[\]{}])""", re.X
-)
-_JS_SCAN = re.compile(
-    r"""//[^\n]*|(?P<long>/\*|`)|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'
-    |(?<=[(,=:\[!&|?{};\n])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/
-    |(?P<bad>["'])|(?P<bracket>[()\[\]{}])""",
-    re.X,
-)
-_END = {
-    '"""': re.compile(r'(?:[^\\"]|\\[\s\S]|"(?!""))*"""'),
-    "'''": re.compile(r"(?:[^\\']|\\[\s\S]|'(?!''))*'''"),
-    "/*": re.compile(r"[\s\S]*?\*/"),
-    "`": re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)"),
-}
-_CLOSES = {")": "(", "]": "[", "}": "{"}
-#: States a lexer can be in at a line's start, by language; "" is code.
-STATES = {"py": ("", '"""', "'''"), "js": ("", "/*", "`")}
-
-
-def _scan(chunk: str, state: str, python: bool) -> tuple[str, str, str]:
-    """(state at the end, closing brackets without an opening, brackets left open) from one start state. A `!` among
-    the closing ones says that no parse is possible, a `?` that this map can't tell."""
-    scan, pos, opened, closing = (_PY_SCAN if python else _JS_SCAN), 0, [], []
-    while True:
-        if state:
-            m = _END[state].match(chunk, pos)
-            if not m:
-                return state, "".join(closing), "".join(opened)
-            pos = m.end()
-            if state == "`" and m.group(1) == "${":
-                opened.append("$")
-            state = ""
-        m = scan.search(chunk, pos)
-        if not m:
-            return state, "".join(closing), "".join(opened)
-        pos = m.end()
-        if m["long"]:
-            state = m["long"]
-        elif m["bad"]:
-            return "", "".join(closing) + "!", "".join(opened)
-        elif m["bracket"]:
-            b = m["bracket"]
-            if b not in _CLOSES:
-                opened.append(b)
-            elif not opened:
-                closing.append(b if b != "}" or python else "?")
-            elif opened[-1] == "$" and b == "}":
-                opened.pop()
-                state = "`"
-            elif opened[-1] == _CLOSES[b]:
-                opened.pop()
-            else:
-                return "", "".join(closing) + "!", "".join(opened)
-
-
-def summarise(chunk: str, python: bool, states: tuple[str, ...] | None = None) -> dict[str, tuple[str, str, str]]:
-    """The map of a chunk, over all start states or those given."""
-    return {s: _scan(chunk, s, python) for s in states or STATES["py" if python else "js"]}
-
-
-def compose(first: dict, second: dict) -> dict:
-    """The map of two neighbouring pieces; associative."""
-    out = {}
-    for state, (end, closing, opened) in first.items():
-        if end not in second:
-            continue
-        last, more, left = second[end]
-        stack = list(opened)
-        for i, b in enumerate(more):
-            if b in "!" or not stack:
-                closing += more[i:]
-                break
-            if b == "?":  # a brace that closes a block, or a part of a template: then what follows was read wrongly
-                if stack[-1] == "$":
-                    closing += "?"
-                    break
-                b = "}"
-            if stack[-1] != _CLOSES[b]:
-                closing += "!"
-                break
-            stack.pop()
-        out[state] = (last, closing, "".join(stack) + left)
-    return out
-
-
-def unbalanced(summary: dict) -> bool:
-    """Whether the map of a whole file says that it can't parse."""
-    end, closing, opened = summary[""]
-    return "?" not in closing and bool(closing or opened or end)
+
+def summary(text: str, ending: str, size: int = CHUNK) -> Entry:
+    """The map of a whole cleaned text at its one start state, from the maps of its chunks."""
+    whole = None
+    for chunk in chunks(text, size):
+        if whole is None:
+            whole = read(chunk, ending, start(ending))
+        elif not whole.bad:
+            whole = join(whole, Piece(chunk, ending))
+    return whole or Entry(state=start(ending))
 
 
 _CONTINUES = re.compile(r"(?:else|elif|except|finally)\b")
 _PARSED: dict[str, bool] = {}
 
 
-def _python_statements(text: str) -> Iterator[str]:
-    """Top-level statements, cut at lines that start in the first column outside brackets and strings."""
-    cuts, depth, pos, line = [0], 0, 0, 0
-    free = []  # line starts outside brackets and strings
-    marks = re.compile(r"\n|" + _PY_SCAN.pattern, re.X)
-    while True:
-        m = marks.search(text, pos)
-        if not m:
-            break
-        pos = m.end()
-        token = m.group()
-        if token == "\n":
-            if depth <= 0 and text[m.start() - 1 : m.start()] != "\\":
-                free.append(pos)
-        elif m["long"]:
-            end = _END[token].match(text, pos)
-            pos = end.end() if end else len(text)
-        elif m["bracket"]:
-            depth += 1 if token in "([{" else -1
-    decorated = text[:1] == "@"
-    for line in free:
+def _python_statements(text: str, lines: list[tuple[int, int]]) -> Iterator[str]:
+    """Top-level statements, cut at those of the line starts outside brackets and strings that have text in the first
+    column."""
+    cuts, decorated = [0], text[:1] == "@"
+    for line, closed in lines:
         c = text[line : line + 1]
-        if not c or c.isspace() or c == "#" or _CONTINUES.match(text, line):
+        if closed or not c or c.isspace() or c in "#\\" or _CONTINUES.match(text, line):
             continue
         if not decorated:
             cuts.append(line)
@@ -155,41 +82,43 @@ def _python_parses(code: str) -> bool:
         compile(code, "?", "exec", flags=ast.PyCF_ONLY_AST, dont_inherit=True)
     except (SyntaxError, ValueError):
         return False
-    except (RecursionError, MemoryError):
-        return True  # nested deeper than can be followed: nothing wrong was found
     return True
 
 
-def parses(text: str, ending: str, suspect: bool | None = None) -> bool:
-    """Whether a file parses: its map first (`suspect` tells its result, if known), then its statements.
+def _statements_parse(text: str, ending: str, e: Entry) -> bool:
+    """Whether the local grammars take all statements of a balanced text."""
+    if ending != "py":
+        return not script_grammar.parse(e.found, ending)
+    for statement in _python_statements(text, e.found):
+        sound = _PARSED.get(statement)
+        if sound is None:
+            sound = _python_parses(statement)
+            if len(_PARSED) >= KEPT:
+                _PARSED.clear()
+            _PARSED[statement] = sound
+        if not sound:
+            return False
+    return True
+
+
+def judge(text: str, ending: str, e: Entry | None = None) -> bool | None:
+    """Whether a file parses; None if it nests deeper than the grammars can follow.
 
-    What either finds is confirmed by parsing the file as one.
+    First its map decides (`e`, if it is known), then the grammars of its statements.
     """
-    python = ending == "py"
-    text = text.removeprefix("\ufeff")
-    if python:
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-        if suspect is None:
-            suspect = unbalanced(summarise(text, True, ("",)))
-        if not suspect:
-            for statement in _python_statements(text):
-                sound = _PARSED.get(statement)
-                if sound is None:
-                    sound = _python_parses(statement)
-                    if len(_PARSED) >= KEPT:
-                        _PARSED.clear()
-                    _PARSED[statement] = sound
-                if not sound:
-                    break
-            else:
-                return True
-        return _python_parses(text)
-    if suspect is None:
-        # markup holds free text with quotes and brackets, which only the grammar can tell apart
-        suspect = ending != "tsx" and unbalanced(summarise(text, False, ("",)))
-    if not suspect and script_grammar.check(text, ending) is None:
-        return True
-    return script_grammar.check(text, ending, whole=True) is None
+    text = clean(text, ending)
+    if e is None:
+        e = summary(text, ending)
+    if verdict(e):
+        return False
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEPTH))
+    try:
+        return _statements_parse(text, ending, e)
+    except (RecursionError, MemoryError):
+        return None
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 _ENDING = r"\.(py|tsx?|js)$"
@@ -200,103 +129,82 @@ def _files(documents: DataFrame) -> DataFrame:
     return documents.where((ending != "") & F.col("text").isNotNull()).select("doc_id", "text", ending.alias("ending"))
 
 
-def _long_suspects(files: DataFrame) -> DataFrame:
-    """``key, suspect`` of long files, from chunk maps that are reduced in two rounds."""
-    keyed = files.select(F.sha2("text", 256).alias("key"), "text", "ending").dropDuplicates(["key", "ending"])
+def _spread(files: DataFrame) -> DataFrame:
+    """``key, ending, map`` of texts of `SPREAD` characters and more: their chunks are mapped in tasks of their own, and
+    the maps reduced in two rounds. The map of the first chunk has the one start state."""
+    keyed = files.select("key", "text", "ending").dropDuplicates(["key", "ending"])
+    columns = [("key", pa.string()), ("ending", pa.string()), ("k", pa.int32())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*columns, ("chunk", pa.string())])
         for batch in batches:
             for r in batch.to_pylist():
-                text, k, start = r["text"].removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"), 0, 0
-                while start < len(text):
-                    end = text.find("\n", start + CHUNK) + 1 or len(text)
-                    yield pa.RecordBatch.from_pydict(
-                        {"key": [r["key"]], "ending": [r["ending"]], "k": [k], "chunk": [text[start:end]]},
-                        schema=pa.schema([("key", pa.string()), ("ending", pa.string()), ("k", pa.int32()), ("chunk", pa.string())]),
-                    )
-                    start, k = end, k + 1
-
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for k, chunk in enumerate(chunks(clean(r["text"], r["ending"]), SPREAD // FANOUT)):
+                    yield pa.RecordBatch.from_pydict({"key": [r["key"]], "ending": [r["ending"]], "k": [k], "chunk": [chunk]}, schema=schema)
+
+    def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*columns, ("map", pa.binary())])
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": [r["key"] for r in rows],
-                    "ending": [r["ending"] for r in rows],
-                    "k": [r["k"] for r in rows],
-                    "map": [json.dumps(summarise(r["chunk"], r["ending"] == "py")) for r in rows],
-                },
-                schema=pa.schema([("key", pa.string()), ("ending", pa.string()), ("k", pa.int32()), ("map", pa.string())]),
-            )
+            for r in batch.to_pylist():
+                piece = Piece(r["chunk"], r["ending"], (start(r["ending"]),) if r["k"] == 0 else None)
+                yield pa.RecordBatch.from_pydict({"key": [r["key"]], "ending": [r["ending"]], "k": [r["k"]], "map": [pickle.dumps(piece)]}, schema=schema)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*columns, ("map", pa.binary())])
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
+            for r in batch.to_pylist():
                 whole = None
                 for m in r["maps"]:
-                    piece = {s: tuple(v) for s, v in json.loads(m["map"]).items()}
-                    whole = piece if whole is None else compose(whole, piece)
-                r["map"] = json.dumps(whole)
-            yield pa.RecordBatch.from_pydict(
-                {c: [r[c] for r in rows] for c in ("key", "ending", "k", "map")},
-                schema=pa.schema([("key", pa.string()), ("ending", pa.string()), ("k", pa.int32()), ("map", pa.string())]),
-            )
-
-    schema = "key string, ending string, k int, map string"
-    chunks = keyed.mapInArrow(cut, "key string, ending string, k int, chunk string").repartition("key", "ending", "k")
-    maps = chunks.mapInArrow(summaries, schema)
-    for size in (FANOUT, None):
-        group = (F.col("k") / F.lit(FANOUT)).cast("int") if size else F.lit(0)
-        maps = (
-            maps.groupBy("key", "ending", group.alias("k"))
-            .agg(F.sort_array(F.collect_list(F.struct("k", "map"))).alias("maps"))  # FANOUT maps, then length / CHUNK / FANOUT
-            .mapInArrow(reduce, schema)
-        )
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": [r["key"] for r in rows],
-                    "ending": [r["ending"] for r in rows],
-                    "suspect": [r["ending"] != "tsx" and unbalanced(json.loads(r["map"])) for r in rows],
-                },
-                schema=pa.schema([("key", pa.string()), ("ending", pa.string()), ("suspect", pa.bool_())]),
-            )
+                    piece = pickle.loads(m["map"])
+                    whole = piece if whole is None else piece.after(whole)
+                yield pa.RecordBatch.from_pydict({"key": [r["key"]], "ending": [r["ending"]], "k": [r["k"]], "map": [pickle.dumps(whole)]}, schema=schema)
 
-    return maps.mapInArrow(judge, "key string, ending string, suspect boolean")
+    schema = "key string, ending string, k int, map binary"
+    maps = keyed.mapInArrow(cut, "key string, ending string, k int, chunk string").repartition("key", "ending", "k").mapInArrow(map_chunks, schema)
+    for group in ((F.col("k") / F.lit(FANOUT)).cast("int"), F.lit(0)):
+        # FANOUT maps, then one for each FANOUT: together the length of one text
+        maps = maps.groupBy("key", "ending", group.alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "map"))).alias("maps")).mapInArrow(reduce, schema)
+    return maps.drop("k")
 
 
-def broken_files(documents: DataFrame) -> DataFrame:
-    """Source files (.py, .ts, .tsx, .js) whose text doesn't parse in the language of their ending: ``doc_id``.
+def judged_files(documents: DataFrame) -> DataFrame:
+    """``doc_id, sound`` of the source files (.py, .ts, .tsx, .js) that don't parse in the language of their ending
+    (`sound` is false) or nest deeper than the grammars can follow (null).
 
     Syntax alone counts. Empty and blank texts parse; null texts and other files give no rows; every copy of a file
-    counts, whatever its `doc_id`. JavaScript may be a module or a script. Files nested deeper than the parsers can
-    follow count as sound. Files up to a chunk in length are judged where they lie; only the chunks and the texts of
-    longer ones are moved.
+    counts, whatever its `doc_id`. JavaScript may be a module or a script. Every text is cut into chunks and decided by
+    its map and its statements; texts of `SPREAD` characters and more are mapped by several tasks, others where they lie.
     """
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             for batch in batches:
-                known = batch.schema.get_field_index("suspect")
-                rows = zip(
-                    batch.column(0).to_pylist(),
-                    batch.column(1).to_pylist(),
-                    batch.column(2).to_pylist(),
-                    batch.column(known).to_pylist() if known >= 0 else [None] * batch.num_rows,
-                )
-                bad = [i for i, text, ending, suspect in rows if not parses(text, ending, suspect)]
-                yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["doc_id"])
+                known = batch.schema.get_field_index("map")
+                maps = batch.column(known).to_pylist() if known >= 0 else [None] * batch.num_rows
+                ids, verdicts = [], []
+                for i, text, ending, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), maps):
+                    sound = judge(text, ending, pickle.loads(m).entries[start(ending)] if m is not None else None)
+                    if not sound:
+                        ids.append(i)
+                        verdicts.append(sound)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(verdicts, pa.bool_())], names=["doc_id", "sound"])
 
     files = _files(documents)
-    short = files.where(F.length("text") <= CHUNK).mapInArrow(judge, "doc_id bigint")
-    long = files.where(F.length("text") > CHUNK).withColumn("key", F.sha2("text", 256))
-    judged = long.join(_long_suspects(long), ["key", "ending"], "left").select("doc_id", "text", "ending", "suspect")
-    return short.unionByName(judged.mapInArrow(judge, "doc_id bigint"))
+    here = files.where(F.length("text") < SPREAD).mapInArrow(decide, "doc_id bigint, sound boolean")
+    far = files.where(F.length("text") >= SPREAD).withColumn("key", F.sha2("text", 256))
+    mapped = far.join(_spread(far), ["key", "ending"]).select("doc_id", "text", "ending", "map")
+    return here.unionByName(mapped.mapInArrow(decide, "doc_id bigint, sound boolean"))
+
+
+def broken_files(documents: DataFrame) -> DataFrame:
+    """``doc_id`` of the source files that don't parse; see `judged_files`."""
+    return judged_files(documents).where(~F.col("sound")).select("doc_id")
+
+
+def undecided_files(documents: DataFrame) -> DataFrame:
+    """``doc_id`` of the source files that nest too deep to be judged."""
+    return judged_files(documents).where(F.col("sound").isNull()).select("doc_id")
 
 
 def broken_rates(documents: DataFrame, broken: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("quiver.llm")
 
-from quiver.llm import handwritten, leaks, neighbours, pairs, reading, script_grammar, syntax, tokenizer  # noqa: E402
+from quiver.llm import chunk_maps, handwritten, leaks, neighbours, pairs, reading, script_grammar, syntax, tokenizer  # noqa: E402
 
 DOC = "doc_id bigint, text string, file_path string, lang string, graph_id string, source string"
 
@@ -36,41 +36,82 @@ BROKEN = {
 
 @pytest.mark.parametrize("ending", ["py", "js", "ts", "tsx"])
 def test_syntax(ending):
-    assert [t for t in SOUND[ending] if not syntax.parses(t, ending)] == []
-    assert [t for t in BROKEN[ending] if syntax.parses(t, ending)] == []
+    assert [t for t in SOUND[ending] if syntax.judge(t, ending) is not True] == []
+    assert [t for t in BROKEN[ending] if syntax.judge(t, ending) is not False] == []
 
 
-@pytest.mark.parametrize("python", [True, False])
-def test_chunk_maps_compose_as_the_whole(python):
+@pytest.mark.parametrize(
+    "text, ending",
+    [(t, "js") for t in ["/(/", "/a|*/", "x = 08n", "'\\u{110000}'", "'\\xg0'", "if (a) let b", "while (a) const b = 1", "function* g(){ yield\n* x }", "super()", "new.target", "class A { constructor() {} constructor() {} }", "x = /a/gg", "/* a", "`${"]]
+    + [(t, "py") for t in ["f'{a'", "f'}'", "f'{a:{b}'", "f'''{a\n", "x = f'{\"a\"'\n"]],
+)
+def test_broken_in_detail(text, ending):
+    assert syntax.judge(text, ending) is False
+
+
+@pytest.mark.parametrize(
+    "text, ending",
+    [(t, "js") for t in ["<!-- html comment\nx = 1", "x = 08.5", "class A extends B { constructor() { super(); const f = () => super(); new.target } }", "/(?<a>[)/(])\\k<a>/u", "`${x ? `{` : ''}`", "return_ = /[{]/.test(y)", "'\\\\u{110000}'", "if (a) let\nb"]]
+    + [("class A { constructor(); constructor(a?: number) {} }", "ts"), ("const a = <p x={() => { class B { constructor() {} } }}>{`}`}</p>", "tsx")]
+    + [(t, "py") for t in ["f'{x[\"a\"]}'", "f\"{x[\"a\"]}\"", "f'{a!r:>{w}}' + f'{{}}'", "rf'\\{a}'", "f'''{\n(a, # )\n b):x\n}'''", "f'\\N{EM DASH}'", "f'{d[\"{\"]}'", "x = 1\\\n+ 2\ny = '''\\\n'''\n"]],
+)
+def test_sound_in_detail(text, ending):
+    assert syntax.judge(text, ending) is True
+    if ending == "py":
+        ast.parse(text)
+
+
+def _whole(text, ending):
+    """The file parsed as one."""
+    if ending != "py":
+        return script_grammar.check(text, ending, whole=True) is None
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+BITS = {
+    "py": ["a(", ")", "{\n", "}\n", "[", "]\n", "'x('\n", '"""\n', "'''\n", "\n", "# (\n", "x\n", "f'{", "f'''\n", ":\n", "{{", "'\n", "}'", "\\\n", "if x:\n  y\n", "else:\n  z\n"],
+    "js": ["a(", ")\n", "{\n", "}\n", "[", "]\n", "'x('\n", "/*\n", "*/\n", "\n", "// (\n", "x\n", "`\n", "${", "}`\n", "/ 2\n", "/[/]/\n", "x = y\n", ";\n"],
+    "tsx": ["<p>\n", "</p>\n", "{\n", "}\n", "don't\n", "x = ", "`\n", "${", "<a b='}'\n", "/>\n", "(", ")\n", ";\n"],
+}
+
+
+@pytest.mark.parametrize("ending", ["py", "js", "tsx"])
+def test_chunk_maps_compose_as_the_whole(ending):
     rnd = random.Random(3)
-    bits = ["a(", ")", "{\n", "}\n", "[", "]\n", "'x('\n", '"""\n' if python else "/*\n", "'''\n" if python else "*/\n", "\n", "# (\n" if python else "// (\n", "x\n", "" if python else "`\n"]
-    for _ in range(400):
-        lines = "".join(rnd.choice(bits) for _ in range(12)).splitlines(keepends=True)
-        maps = [syntax.summarise(x, python) for x in lines]
-        if not maps:
-            continue
-        left = maps[0]
-        for m in maps[1:]:
-            left = syntax.compose(left, m)
-        right = maps[-1]
-        for m in reversed(maps[:-1]):
-            right = syntax.compose(m, right)
-        whole = syntax.summarise("".join(lines), python)
-        for m in (left, right):
-            if "?" not in m[""][1] + whole[""][1]:
-                assert syntax.unbalanced(m) == syntax.unbalanced(whole)
+    for _ in range(1500):
+        text = "".join(rnd.choice(BITS[ending]) for _ in range(rnd.randrange(2, 14)))
+        pieces = [chunk_maps.Piece(c, ending) for c in syntax.chunks(text, 1)]
+        begin, one = chunk_maps.start(ending), chunk_maps.read(text, ending, chunk_maps.start(ending))
+        left = pieces[0]
+        for p in pieces[1:]:
+            left = p.after(left)
+        right = pieces[-1]
+        for p in reversed(pieces[:-1]):
+            right = right.after(p)
+        for whole in (left, right):
+            e = whole.entry(begin)
+            assert bool(chunk_maps.verdict(e)) == bool(chunk_maps.verdict(one)), text
+            if not chunk_maps.verdict(one):
+                assert (e.found, e.size) == (one.found, len(text)), text
+        assert syntax.judge(text, ending, left.entry(begin)) == _whole(text, ending), text
 
 
 def test_broken_files_short_and_long(spark):
-    good = "def f(a):\n    return (a,\n        1)\n\n" * 6000
-    rows = [("a.py", good), ("b.py", good + "x = (\n"), ("c.js", "function f() { return [1]; }\n" * 6000), ("d.js", "function f() { return [1]; }\n" * 6000 + "}"), ("e.py", None), ("f.py", ""), ("g.md", "(("), ("h.py", "x ="), ("i.py", "x =")]
+    good = "def f(a):\n    return (a,\n        1)\n\n" * 40_000
+    script = "function f() { return [`${1}`]; }\n" * 40_000
+    rows = [("a.py", good), ("b.py", good + "x = (\n"), ("c.js", script), ("d.js", script + "}"), ("e.py", None), ("f.py", ""), ("g.md", "(("), ("h.py", "x ="), ("i.py", "x ="), ("j.js", "x = " + "(" * 30_000 + ")" * 30_000)]
     assert sorted(r.doc_id for r in syntax.broken_files(docs(spark, rows)).collect()) == [1, 3, 7, 8]
+    assert [r.doc_id for r in syntax.undecided_files(docs(spark, rows)).collect()] == [9]
     assert syntax.broken_files(docs(spark, rows).limit(0)).count() == 0
 
 
 def test_python_statements_rebuild_the_text():
     text = "@a\n@b\nclass A:\n    x = (\n1)\n# c\nif x:\n    1\nelif y:\n    2\nelse:\n    3\ns = '''\nz\n'''\n"
-    parts = list(syntax._python_statements(text))
+    parts = list(syntax._python_statements(text, syntax.summary(text, "py").found))
     assert "".join(parts) == text and len(parts) == 3
     for p in parts:
         ast.parse(p)
