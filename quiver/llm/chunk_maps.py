@@ -62,17 +62,22 @@ _TEXT = {(q, raw): _formatted(q, raw) for q in _PY_END for raw in (False, True)}
 _SPEC = {(q, raw): _specification(q) for q in _PY_END for raw in (False, True)}
 
 
-def _python(text: str, state: tuple, stack: list, e: Entry) -> None:
-    """Read a piece of Python. States: code, ``long q``, and ``text q raw`` and ``spec q raw`` of formatted strings.
+def _python(text: str, state: tuple, stack: list, e: Entry, marks: list | None = None) -> None:
+    """Read a piece of Python; `marks` takes (kind, start, end) of strings and comments outside of strings. States: code, ``long q``, and ``text q raw`` and ``spec q raw`` of formatted strings.
     Open fields are on the stack as tuples of the state to go on with."""
-    pos = 0
+    pos, began, outside = 0, 0, len(stack)
     while True:
+        if marks is not None and state == ("",) and began >= 0 and not any(isinstance(x, tuple) for x in stack[outside:]):
+            if began < pos:
+                marks.append(("string", began, pos))
+            began = -1
         if state[0] == "long":
             m = _PY_END[state[1]].match(text, pos)
             if not m:
                 break
             state, pos = ("",), m.end()
-        elif state[0] in ("text", "spec"):
+            continue
+        if state[0] in ("text", "spec"):
             m = (_TEXT if state[0] == "text" else _SPEC)[state[1:]].match(text, pos)
             if not m:
                 if len(state[1]) == 1:
@@ -99,6 +104,11 @@ def _python(text: str, state: tuple, stack: list, e: Entry) -> None:
             break
         pos = m.end()
         kind = m.lastgroup
+        if marks is not None and began < 0:
+            if kind is None:
+                marks.append(("comment", m.start(), pos))
+            elif kind == "quote":
+                began = m.start()
         if kind == "line":
             if not stack and text[m.start() - 1 : m.start()] != "\\":
                 e.found.append((pos, len(e.closes)))
@@ -133,6 +143,14 @@ def _python(text: str, state: tuple, stack: list, e: Entry) -> None:
     e.state, e.opens = state, stack
 
 
+def python_marks(text: str) -> list[tuple[str, int, int]]:
+    """(``string`` or ``comment``, start, end) of a Python text; formatted strings with what is in their fields."""
+    marks: list[tuple[str, int, int]] = []
+    e = Entry()
+    _python(text, ("",), [], e, marks)
+    return marks
+
+
 # -- all
 
 #: The states at a line's start that a map is worked out for; others (in a formatted string, say) when they are met.

@@ -1,4 +1,10 @@
-"""Functions paired with their documentation."""
+"""Functions paired with their documentation.
+
+Texts are read by the lexers of `chunk_maps` and `script_grammar`, so brackets and definitions in strings, templates,
+regular expressions and comments are none. Brackets are matched to delimit functions, and comments directly before a
+definition are attached. Documentation counts if it holds a word beyond name, signature and the words that carry nothing,
+and if it isn't one of the phrases that the corpus puts to functions of many names.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiver.llm import chunk_maps, script_grammar
+from quiver.session import checkpointed
+
+#: Share of all documentation from which on a phrase, put to at least so many names, is a placeholder; so there are at
+#: most 1 / PLACEHOLDER_SHARE of them. Share from which on a word carries nothing.
+PLACEHOLDER_SHARE, PLACEHOLDER_NAMES, COMMON_SHARE = 0.001, 20, 0.1
+
 # Words that carry nothing about what a function does.
 #: Grammar words, words for the thing itself, and tags of documentation languages.
 _EMPTY_WORDS = frozenset(
@@ -46,40 +59,66 @@ def _plain(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") else word
 
 
-def is_telling(documentation: str, name: str | None, signature: str | None) -> bool:
-    """Whether a documentation says something beyond the function's name and signature.
+def left_words(documentation: str | None, name: str | None, signature: str | None) -> tuple[list[str], str]:
+    """Words that say something beyond name and signature, and all words as a phrase.
 
-    A fenced signature at its start and notes to tools are passed over. What counts are words that are neither
-    parts of the name or signature nor grammar, tag or placeholder words; there must be two of them, or one word
-    of a script written without blanks.
+    A fenced signature at the start and notes to tools are passed over. What is left are words that are neither parts of
+    the name or signature nor grammar, tag or placeholder words nor numbers.
     """
     text = _TOOL_NOTE.sub(" ", _FENCE.sub(" ", documentation or "", count=1))
-    left = {w for w in _words(text) - _KNOWN if _plain(w) not in _KNOWN and not w.isdigit()}
-    if left:
-        own = f"{name or ''} {signature or ''}"
-        known = {p.lower() for p in _PARTS.findall(own)} | _words(own)
-        known |= {_plain(w) for w in known}
-        left = {w for w in left if w not in known and _plain(w) not in known}
-    if any(ord(w[0]) > 0x2E7F or len(w) > 24 and not w.isascii() for w in left):
-        return True
-    return len(left) >= 2
-
-
-# The lexer's states are the alternatives: a token is a comment, a string, a bracket or anything else, so brackets
-# and definitions in comments and strings are never seen as such.
-_PY = re.compile(
-    r"""(?P<comment>\#[^\n]*)
-    |(?P<string>[rRbBuUfF]{0,3}(?:\"{3}(?:[^\\]|\\.)*?(?:\"{3}|\Z)|'{3}(?:[^\\]|\\.)*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\.)*(?:"|$)|'(?:[^'\\\n]|\\.)*(?:'|$)))
-    |(?P<line>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<word>\w+)|(?P<other>[^\s\w])""",
-    re.X | re.S | re.M,
-)
-_JS = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
-    |(?P<string>"(?:[^"\\\n]|\\.)*(?:"|$)|'(?:[^'\\\n]|\\.)*(?:'|$)|`(?:[^`\\]|\\.)*(?:`|\Z)
-       |(?<=[(,=:\[!&|?{};])\s*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*)
-    |(?P<line>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<word>[\w$]+)|(?P<other>=>|[^\s\w])""",
-    re.X | re.S | re.M,
-)
+    words = [w.lower() for w in _WORD.findall(text)]
+    own = f"{name or ''} {signature or ''}"
+    known = {p.lower() for p in _PARTS.findall(own)} | _words(own)
+    known |= {_plain(w) for w in known}
+    left = {w for w in words if w not in known and _plain(w) not in known and w not in _KNOWN and _plain(w) not in _KNOWN and not w.isdigit()}
+    return sorted(left), " ".join(words)
+
+
+def is_telling(documentation: str | None, name: str | None, signature: str | None) -> bool:
+    """Whether a documentation says something beyond the function's name and signature, the corpus aside."""
+    return bool(left_words(documentation, name, signature)[0])
+
+
+# A token is a comment, a string, a bracket or anything else; strings and comments come from the lexers.
+_PLAIN = re.compile(r"(?P<line>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<word>\w+)|(?P<other>[^\s\w])")
+
+
+def _python_tokens(text: str) -> list[tuple[str, str, int, int]]:
+    out, at = [], 0
+    for kind, start, end in [*chunk_maps.python_marks(text), ("", len(text), len(text))]:
+        out += [(m.lastgroup, m.group(), m.start(), m.end()) for m in _PLAIN.finditer(text, at, start)]
+        if kind:
+            out.append((kind, text[start:end], start, end))
+        at = end
+    return out
+
+
+_OPEN, _CLOSE = {"(", "[", "{"}, {")", "]", "}"}
+_STRINGS = {'"', "/r/", "``", "J"}
+
+
+def _script_tokens(text: str, ending: str) -> list[tuple[str, str, int, int]]:
+    """Templates are one string with what is in them."""
+    out: list[tuple[str, str, int, int]] = []
+    at, deep, began = 0, 0, 0
+    for kind, start, end in script_grammar.tokens(text, ending):
+        if deep:
+            deep += (kind == "`{") - (kind == "}`")
+            if not deep:
+                out.append(("string", text[began:end], began, end))
+                at = end
+            continue
+        out += [("line", "\n", at + i, at + i + 1) for i, c in enumerate(text[at:start]) if c == "\n"] if "\n" in text[at:start] else []
+        at = end
+        if kind == "`{":
+            deep, began = 1, start
+            continue
+        token = text[start:end]
+        group = "comment" if kind == "comment" else "string" if kind in _STRINGS else "open" if kind in _OPEN else "close" if kind in _CLOSE else "word" if token[0].isalnum() or token[0] in "_$" else "other"
+        out.append((group, token, start, end))
+    return out
+
+
 _NOT_NAMES = frozenset("if for while switch catch return function await typeof new delete void do else with super import".split())
 
 
@@ -105,7 +144,7 @@ def _unquote(token: str) -> str:
 
 def _python_functions(text: str) -> Iterator[tuple[str, str, str]]:
     """(name, code, documentation) of every def: comments right above it or its decorators, and its docstring."""
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _PY.finditer(text)]
+    tokens = _python_tokens(text)
     above: list[str] = []
     first, at, depth = None, 0, 0  # start of the definition with its comments
     fresh, blank = True, 0
@@ -165,9 +204,9 @@ def _python_body(text: str, tokens: list, at: int, first: int, above: list[str])
     return name, text[first:end].rstrip(), "\n".join(d for d in docs if d)
 
 
-def _script_functions(text: str) -> Iterator[tuple[str, str, str]]:
+def _script_functions(text: str, ending: str) -> Iterator[tuple[str, str, str]]:
     """(name, code, documentation) of functions, methods and arrow functions bound to a name."""
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _JS.finditer(text)]
+    tokens = _script_tokens(text, ending)
     match: dict[int, int] = {}
     stack: list[int] = []
     for i, (kind, *_rest) in enumerate(tokens):
@@ -257,55 +296,84 @@ def _script_body(tokens: list, match: dict[int, int], i: int) -> tuple[int, bool
     return None
 
 
-def functions_of(text: str, language: str | None) -> list[tuple[str, str, str]]:
-    """All functions of a source text with the documentation found at them: (name, code, documentation)."""
-    return list(_python_functions(text) if language == "python" else _script_functions(text))
+def functions_of(text: str, ending: str) -> list[tuple[str, str, str]]:
+    """All functions of a source text (py, js, ts or tsx) with the documentation found at them: (name, code, documentation)."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return list(_python_functions(text) if ending == "py" else _script_functions(text, ending))
 
 
-def _from_code(snippet: str, language: str | None) -> str:
+def _from_code(snippet: str, language: str | None, path: str | None = None) -> str:
     """Documentation of the first definition of a snippet."""
-    python = language == "python" if language in ("python", "typescript", "javascript") else bool(re.search(r"^\s*(?:async\s+)?def\s", snippet, re.M))
-    return next((d for _, _, d in (_python_functions(snippet) if python else _script_functions(snippet))), "")
+    ending = (path or "").rsplit(".", 1)[-1]
+    if ending not in _ENDINGS:
+        ending = {"python": "py", "typescript": "ts", "javascript": "js"}.get(language or "") or ("py" if re.search(r"^\s*(?:async\s+)?def\s", snippet, re.M) else "ts")
+    return next((d for _, _, d in functions_of(snippet, ending)), "")
 
 
+_ENDINGS = ("py", "js", "ts", "tsx")
 _PROPERTIES = "struct<name:string,signature:string,snippet:string,docstring:string,documentation:string>"
 
 
+_CANDIDATES = "array<struct<documentation:string,left:array<string>,phrase:string>>"
+
+
+def _telling(rows: DataFrame) -> DataFrame:
+    """The first telling one of `candidates` of each row as `documentation`; rows without one are dropped.
+
+    `rows` (written down, as they are read twice) have `name` and `candidates`. Phrases and words are counted over all of
+    them; what is held of the counts is bounded by the shares.
+    """
+    every = rows.select("name", F.explode("candidates").alias("c")).where(F.size("c.left") > 0).select("name", "c.phrase", "c.left")
+    total = every.count()
+    phrases = every.groupBy("phrase", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("phrase").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("names"))
+    usual = [r[0] for r in phrases.where((F.col("n") >= PLACEHOLDER_SHARE * total) & (F.col("names") >= PLACEHOLDER_NAMES)).select("phrase").collect()]
+    words = every.select(F.explode("left").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    common = [r[0] for r in words.where((F.col("n") >= COMMON_SHARE * total) & (F.col("n") >= PLACEHOLDER_NAMES)).select("w").collect()]
+    none = F.array().cast("array<string>")
+    usual, common = (F.array(*map(F.lit, sorted(x))) if x else none for x in (usual, common))
+    good = F.filter("candidates", lambda c: (F.size(F.array_except(c["left"], common)) > 0) & ~F.array_contains(usual, c["phrase"]))
+    return rows.withColumn("documentation", F.get(good, F.lit(0))["documentation"]).where(F.col("documentation").isNotNull())
+
+
+def _candidate(doc: str, name: str | None, signature: str | None) -> dict | None:
+    left, phrase = left_words(doc, name, signature)
+    return {"documentation": doc, "left": left, "phrase": phrase} if left else None
+
+
 def documented_functions(nodes: DataFrame) -> DataFrame:
     """Pairs of code and telling documentation of function and method nodes: ``graph_id, id, code, documentation``.
 
     Stored documentation (`docstring`, `documentation`) is taken if it is telling, else that found in the snippet.
     Nodes whose `properties` are null, can't be read or hold no snippet that isn't blank give no row; of a node
     sent several times one row with a telling documentation is kept, the greatest by documentation and code.
-    Texts of any length are read whole. No row meets another before the last, partially aggregated, grouping.
+    Texts of any length are read whole. Null names and signatures hold no words.
     """
     wanted = F.array_contains("labels", "CodeFunction") | F.array_contains("labels", "CodeMethod")
     p = F.from_json("properties", _PROPERTIES, {"mode": "PERMISSIVE"})
     rows = (
         nodes.where(wanted & F.col("properties").isNotNull() & F.expr("try_parse_json(properties) IS NOT NULL"))
-        .select("graph_id", "id", "language", p.alias("p"))
+        .select("graph_id", "id", "language", "file_path", p.alias("p"))
         .where(F.length(F.trim(F.regexp_replace("p.snippet", r"[\s\x{a0}]+", ""))) > 0)
-        .select("graph_id", "id", "language", "p.*")
+        .select("graph_id", "id", "language", "file_path", "p.*")
         .distinct()
     )
+    schema = pa.schema(
+        [("graph_id", pa.string()), ("id", pa.string()), ("name", pa.string()), ("code", pa.string()), ("candidates", pa.list_(pa.struct([("documentation", pa.string()), ("left", pa.list_(pa.string())), ("phrase", pa.string())])))]
+    )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"graph_id": [], "id": [], "code": [], "documentation": []}
+            out: dict[str, list] = {c: [] for c in schema.names}
             for r in batch.to_pylist():
                 name, signature = r["name"], r["signature"]
-                for doc in (r["docstring"], _stored(r["documentation"])):
-                    if doc and is_telling(doc, name, signature):
-                        break
-                else:
-                    doc = _from_code(r["snippet"], r["language"])
-                    if not is_telling(doc, name, signature):
-                        continue
-                for k, v in zip(out, (r["graph_id"], r["id"], r["snippet"], doc)):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.string()) for k in out]))
-
-    found = rows.mapInArrow(pair, "graph_id string, id string, code string, documentation string")
+                docs = dict.fromkeys((r["docstring"], _stored(r["documentation"]), _from_code(r["snippet"], r["language"], r["file_path"])))
+                found = [c for c in (_candidate(d, name, signature) for d in docs if d) if c]
+                if found:
+                    for k, v in zip(out, (r["graph_id"], r["id"], name, r["snippet"], found)):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    found = _telling(checkpointed(rows.mapInArrow(pair, f"graph_id string, id string, name string, code string, candidates {_CANDIDATES}")))
     best = F.max(F.struct("documentation", "code")).alias("b")
     return found.groupBy("graph_id", "id").agg(best).select("graph_id", "id", "b.code", "b.documentation")
 
@@ -323,26 +391,27 @@ def _stored(documentation: str | None) -> str | None:
     return documentation
 
 
-_LANGUAGE = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript"}
-
-
 def documented_functions_of_files(documents: DataFrame) -> DataFrame:
     """The same from whole source files: ``doc_id, name, code, documentation``, functions in order of the file.
 
     Files that aren't Python, TypeScript or JavaScript by their ending, and null texts, give no rows.
     """
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("name", pa.string()), ("code", pa.string()), ("candidates", pa.list_(pa.struct([("documentation", pa.string()), ("left", pa.list_(pa.string())), ("phrase", pa.string())])))]
+    )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "name": [], "code": [], "documentation": []}
+            out: dict[str, list] = {c: [] for c in schema.names}
             for r in batch.to_pylist():
-                for name, code, doc in functions_of(r["text"], _LANGUAGE[r["ending"]]):
-                    if is_telling(doc, name, None):
-                        for k, v in zip(out, (r["doc_id"], name, code, doc)):
+                for name, code, doc in functions_of(r["text"], r["ending"]):
+                    candidate = _candidate(doc, name, None)
+                    if candidate:
+                        for k, v in zip(out, (r["doc_id"], name, code, [candidate])):
                             out[k].append(v)
-            types = [pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema(list(zip(out, types))))
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     ending = F.regexp_extract("file_path", r"\.(py|tsx?|js)$", 1)
     files = documents.where(F.col("text").isNotNull() & (ending != "")).select("doc_id", "text", ending.alias("ending"))
-    return files.mapInArrow(extract, "doc_id bigint, name string, code string, documentation string")
+    found = checkpointed(files.mapInArrow(extract, f"doc_id bigint, name string, code string, candidates {_CANDIDATES}"))
+    return _telling(found).select("doc_id", "name", "code", "documentation")

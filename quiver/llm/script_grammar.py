@@ -92,13 +92,14 @@ _ESCAPES = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:[0-9a
 _ODD_NUMBER = re.compile(r"0\d+n|0[0-7]+\.\d|0\d*_")
 
 
-def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool = False, pos: int = 0) -> int:
+def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool = False, pos: int = 0, marks: list | None = None) -> int:
     """Read a piece of a script into `e`: `found` are token classes; a class on a new line starts with a line feed.
 
     States are pairs: code, a block comment, or a template (`a` opened, `b` gone on with after a brace; with a line feed
     if it started a line), or code that doesn't start a line (`-`); and the last class, as far as it tells what a slash means. On the stack are open brackets,
     and ``$`` for a part of a template. With `until_brace` reading ends before the brace that closes what was open
-    before. Returns the position reached; `e` tells what is wrong or can't be told without what follows.
+    before. `marks` takes (class, start, end) of every token and comment. Returns the position reached; `e` tells what is
+    wrong or can't be told without what follows.
     """
     mode, last = state
     jsx, out, n, match = ending == "tsx", e.found, len(text), _TOKEN.match
@@ -139,6 +140,8 @@ def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool
                 else:
                     last = "/r/"
                     out.append("\n/r/" if new_line else last)
+                    if marks is not None:
+                        marks.append((last, pos, m.end()))
                     new_line, pos = False, m.end()
                     continue
             elif last not in ("}", "++", "--"):
@@ -158,15 +161,20 @@ def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool
             if inner:
                 stack.append("$")
             out.append("\n" + last if new_line else last)
+            if marks is not None:
+                marks.append((last, pos, m.end()))
             new_line, pos = False, m.end()
             continue
         elif jsx and c == "<" and last in _BEFORE_OPERAND and re.match(r"<(?:>|[^\W\d][\w$.:-]*(?:\s|/?>))", text[pos : pos + 80]) and not re.match(r"<[^\W\d]\w*(?:\s*,|\s+extends\s)", text[pos : pos + 80]):
             try:
-                pos = _jsx_element(text, pos)
+                end = _jsx_element(text, pos)
             except Broken:
                 mode = "" if new_line else "-"
                 return leave("", pos)  # it may go on in the next piece
             last = "J"
+            if marks is not None:
+                marks.append((last, pos, end))
+            pos = end
             out.append("\nJ" if new_line else last)
             new_line = False
             continue
@@ -183,6 +191,8 @@ def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool
         kind = m.lastgroup
         end = m.end()
         if kind == "space":
+            if marks is not None and "/" in m.group():
+                marks += [("comment", pos + x.start(), pos + x.end()) for x in _LINE_COMMENT.finditer(m.group())]
             pos = end
             continue
         if kind == "line":
@@ -190,6 +200,8 @@ def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool
             continue
         if kind == "comment":
             new_line = new_line or "\n" in m.group()
+            if marks is not None:
+                marks.append(("comment", pos, end))
             pos = end
             continue
         if kind == "name":
@@ -217,10 +229,13 @@ def read(text: str, ending: str, state: tuple, stack: list, e, until_brace: bool
             if kind == "string" and "\\" in m.group() and _ESCAPES.search(m.group().replace("\\\\", "")):
                 return leave("escape that can't be read")
         out.append("\n" + last if new_line else last)
+        if marks is not None:
+            marks.append((last, pos, end))
         new_line, pos = False, end
     return leave()
 
 
+_LINE_COMMENT = re.compile(r"//[^\n]*")
 _MATCHES = {"(": ")", "{": "}", "[": "]"}
 
 
@@ -233,6 +248,20 @@ class _Found:
         self.closes, self.found = [], []
 
 
+def tokens(text: str, ending: str) -> list[tuple[str, int, int]]:
+    """(class, start, end) of all tokens and comments; what can't be read is passed over."""
+    marks: list[tuple[str, int, int]] = []
+    pos = 0
+    while pos < len(text):
+        e = _Found()
+        at = read(text, ending, ("", ";") if pos == 0 else ("-", ";"), [], e, pos=pos, marks=marks)
+        if not e.bad and not e.rest:
+            break
+        # after a character that doesn't fit, from the last place that was read
+        pos = max(marks[-1][2] if marks else 0, pos, at if e.rest else 0) + 1
+    return marks
+
+
 def lex(text: str, ending: str, pos: int = 0, until_brace: bool = False) -> tuple[list[str], int]:
     """Token classes of `text` from `pos`, and the position reached."""
     e = _Found()

@@ -136,7 +136,7 @@ def test_not_handwritten(spark):
 
 @pytest.mark.parametrize(
     "doc, telling",
-    [("Oldest channel first.", True), ("save file", False), ("The save file function.", False), ("TODO: document this", False), ("noqa: D102", False), (":param a: the a", False), ("", False), ("—", False), ("```ts\nfunction saveFile(a)\n```\nWrites it twice when asked", True), ("キーごとにまとめる", True), ("See base class.", False)],
+    [("Oldest channel first.", True), ("save file", False), ("The save file function.", False), ("TODO: document this", False), ("noqa: D102", False), (":param a: the a", False), ("", False), ("—", False), ("```ts\nfunction saveFile(a)\n```\nWrites it twice when asked", True), ("キーごとにまとめる", True), ("See base class.", False), ("Memoizes.", True), ("Sorts", True)],
 )
 def test_telling(doc, telling):
     assert pairs.is_telling(doc, "save_file", "def save_file(a)") is telling
@@ -144,16 +144,37 @@ def test_telling(doc, telling):
 
 def test_functions_of_files():
     py = '# keeps old rows\n@x(1)\ndef f(a):\n    s = "def g(): #"\n    return s\n\nclass A:\n    def g(self):\n        """Doc of g."""\n        return (1,\n2)\n'
-    assert [(n, d) for n, _, d in pairs.functions_of(py, "python")] == [("f", "keeps old rows"), ("g", "Doc of g.")]
+    assert [(n, d) for n, _, d in pairs.functions_of(py, "py")] == [("f", "keeps old rows"), ("g", "Doc of g.")]
     js = '/** first */\nexport function f(a) { return "}"; }\n\n// far\n\nconst g = async (x) => { if (x) { y() } };\nclass A {\n  // near\n  m(x) { return 1; }\n}\n'
-    assert [(n, d) for n, _, d in pairs.functions_of(js, "javascript")] == [("f", "first"), ("g", ""), ("m", "near")]
+    assert [(n, d) for n, _, d in pairs.functions_of(js, "js")] == [("f", "first"), ("g", ""), ("m", "near")]
+
+
+def test_functions_with_templates_and_expressions():
+    js = "/** one */\nfunction a(x) { return `${x ? `{` : ''}`; }\n// two\nfunction b(y) { return /[{]/.test(y) }\n/* three */\nconst c = (z) => z / 2 / '}'.length;\n"
+    assert [(n, d) for n, _, d in pairs.functions_of(js, "js")] == [("a", "one"), ("b", "two"), ("c", "three")]
+    tsx = "// box\nexport function Box(p: P): JSX.Element {\n  return <div title='}'>don't {p.x}</div>;\n}\n"
+    assert [(n, d, c.endswith("}")) for n, c, d in pairs.functions_of(tsx, "tsx")] == [("Box", "box", True)]
+    py = 'def f(a):\r\n    """Doc of f."""\r\n    return f"{a["#"]} def g():"\r\n\r\n# of g\r\ndef g(): return 1\r\n'
+    assert [(n, d) for n, _, d in pairs.functions_of(py, "py")] == [("f", "Doc of f."), ("g", "of g")]
+    assert [n for n, _, _ in pairs.functions_of("function a() { return 1 }\n)) # '\nfunction b() { return 2 }", "js")] == ["a", "b"]
+
+
+def test_phrases_put_to_many_names_are_placeholders(spark):
+    import json
+
+    schema = "graph_id string, id string, labels array<string>, language string, file_path string, properties string"
+    rows = [("g", str(i), ["CodeFunction"], "python", None, json.dumps({"name": f"f{i}", "snippet": f"def f{i}(): pass", "docstring": "Pending editorial work." if i % 2 else f"Orders item{i}"})) for i in range(100)]
+    assert {int(r.id) % 2 for r in pairs.documented_functions(spark.createDataFrame(rows, schema)).collect()} == {0}
+    few = spark.createDataFrame(rows[:30], schema)
+    assert pairs.documented_functions(few).count() == 30
+    assert pairs.documented_functions(few.limit(0)).count() == 0
 
 
 def test_documented_functions(spark):
     import json
 
-    schema = "graph_id string, id string, labels array<string>, language string, properties string"
-    node = lambda i, p, lab="CodeFunction": ("g", i, ["KnowledgeNode", lab], "python", p if p is None or isinstance(p, str) else json.dumps(p))
+    schema = "graph_id string, id string, labels array<string>, language string, file_path string, properties string"
+    node = lambda i, p, lab="CodeFunction": ("g", i, ["KnowledgeNode", lab], "python", None, p if p is None or isinstance(p, str) else json.dumps(p))
     base = {"name": "f", "signature": "def f()", "snippet": "def f():\n    return 1"}
     rows = [
         node("a", base | {"docstring": "Counts rows twice"}), node("a", base | {"docstring": "Counts rows twice"}), node("b", base), node("c", None), node("d", "{broken"),
