@@ -239,6 +239,50 @@ def test_leaks(spark):
     assert leaks.leaked_items(docs(spark, [("a.md", "x" * 100)]), table.limit(0)).count() == 0
 
 
+def _edited(text, every, rnd):
+    """One edit in every `every` letters and digits: changed, left out or put in."""
+    out, n = [], 0
+    for c in text:
+        n += c.isalnum()
+        if c.isalnum() and n % every == 0:
+            c = rnd.choice(["q", "", c + "q"])
+        out.append(c)
+    return "".join(out)
+
+
+def test_leaks_at_every_rate_of_the_budget(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5))) for _ in range(900)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(i, text(70), None) for i in range(12)]
+    table = spark.createDataFrame(items, "item_id bigint, prompt string, solution string")
+    rows, want = [], set()
+    for every in (9, 10, 12, 15, 20, 40):
+        for i, p, _ in items[:6]:
+            half = " ".join(p.split()[15:50])
+            for passage in (p, half):
+                want.add((len(rows), i))
+                rows.append(text(60) + " " + _edited(passage, every, rnd) + " " + text(60))
+    rows += [text(300) for _ in range(10)]
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs(spark, [("a.md", t) for t in rows]), table).collect()}
+    assert got == want
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs(spark, [("a.md", t) for t in rows]), table, group_chars=1500).collect()} == want
+
+
+def test_leaks_of_alike_items_and_usual_forms(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5))) for _ in range(900)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    one, form = text(70), text(40)
+    items = [(i, one.replace(one.split()[3], f"word{i}"), None) for i in range(50)] + [(100 + i, form + " " + text(30), None) for i in range(20)] + [(200, one, None), (201, "ÄÖÜ " + text(60).upper(), None)]
+    table = spark.createDataFrame(items, "item_id bigint, prompt string, solution string")
+    rows = [text(50) + " " + one + " " + text(50), form + " " + text(30), items[60][1], "x " * 700_000 + items[60][1] + " y" * 700_000, items[-1][1].lower()]
+    got = {}
+    for r in leaks.leaked_items(docs(spark, [("a.md", t) for t in rows]), table).collect():
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    assert got == {0: {*range(50), 200}, 2: {110}, 3: {110}, 4: {201}}
+
+
 # -- 10
 
 
