@@ -221,7 +221,12 @@ def _regions(data: np.ndarray, passages: Passages) -> pd.DataFrame:
             continue
         own = np.count_nonzero(passages.own[passages.start[p] + where]) / passages.own_grams[p]
         if own >= least:
-            out.append((pair[a] // texts, p, where[0], where[-1], int(np.sort(diagonal[a:b])[(b - a) // 2]), own))
+            # lone q-grams far from the rest are left out: half the density that the lemma leaves is the price of a gap
+            price = (1 - RATE * Q) / 2 * where
+            before = np.minimum.accumulate(np.arange(len(where)) - price)
+            last = int(np.argmax(np.arange(1, len(where) + 1) - price - before))
+            lo = where[int(np.argmin((np.arange(len(where)) - price)[: last + 1]))]
+            out.append((pair[a] // texts, p, lo, where[last], int(np.sort(diagonal[a:b])[(b - a) // 2]), own))
     return pd.DataFrame(out, columns=columns)
 
 
