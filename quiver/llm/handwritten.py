@@ -18,6 +18,9 @@ LIMITS: dict[str, dict[str, float]] = {
     "js": {"longest": 300, "mean": 120, "white": 0.14, "numbers": 0.18, "runs": 0.35, "entries": 0.6},
 }
 
+#: Lines of literals that a share of them is told from.
+LEAST_LINES = 3
+
 # How tools and copies name themselves in the comments around a file's statements, and places they are written to.
 #: A statement about this very file. Statements about other files, or denials, have other wordings.
 GENERATED = (
@@ -62,7 +65,8 @@ def _share(pattern: str) -> Column:
 def layout(documents: DataFrame) -> DataFrame:
     """Layout statistics of every source file with a text: one row per document.
 
-    ``doc_id, file_path, ending, n, lines, longest, mean, white, alnum, numbers, runs, entries, said``; shares are
+    ``doc_id, file_path, ending, n, lines, longest, mean, white, alnum, numbers, runs, entries,
+    literal_lines, said``; shares are
     of the text's characters, `entries` of its lines that aren't blank. An empty text has zeros everywhere.
     """
     ending = F.regexp_extract("file_path", r"\.(py|tsx?|js)$", 1)
@@ -89,6 +93,7 @@ def layout(documents: DataFrame) -> DataFrame:
         _share(r"(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d[\d_.]*)(?!\w)").alias("numbers"),
         _share(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}").alias("runs"),
         F.when(F.size(filled) > 0, F.size(entry) / F.size(filled)).otherwise(0.0).alias("entries"),
+        F.size(entry).alias("literal_lines"),
         F.concat_ws("\n", F.regexp_extract("text", _LEADING, 0), F.regexp_extract("text", _TRAILING, 0)).alias("said"),
     )
 
@@ -114,7 +119,7 @@ def not_handwritten(documents: DataFrame) -> DataFrame:
         (F.col("longest") > _limit("longest")) & (F.col("mean") > _limit("mean")) & (F.col("white") < _limit("white"))
     ) | F.col("file_path").rlike(MINIFIED_PLACE)
     data = (F.col("numbers") > _limit("numbers")) | (F.col("runs") > _limit("runs")) | (
-        (F.col("entries") > _limit("entries")) & (F.col("lines") > 8)
+        (F.col("entries") > _limit("entries")) & (F.col("literal_lines") >= LEAST_LINES)
     )
     generated = (said(GENERATED) & open_to) | F.col("file_path").rlike(GENERATED_PLACE)
     vendored = (said(VENDORED) & open_to) | F.col("file_path").rlike(VENDORED_PLACE)

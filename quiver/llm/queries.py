@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiver.llm import handwritten, leaks, neighbours, pairs, reading, syntax, tokenizer
 from quiver.session import table
@@ -21,6 +22,11 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors)
 
 
+def p6_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Cosines to six digits, which is what two programs agree on."""
+    return p6_neighbours(spark, d).withColumn("cosine", F.round("cosine", 6))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(p6_neighbours(spark, d))
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "p5_file_pairs": p5_file_pairs,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
+    "p6_ranked": p6_ranked,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
@@ -116,4 +123,6 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY co
 
 SQL: dict[str, str] = {
     "p6_found": _NEAREST + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM t",
+    "p6_ranked": _NEAREST
+    + "SELECT vec_id, neighbour, round(cosine, 6) AS cosine, (row_number() OVER (PARTITION BY vec_id ORDER BY t.cosine DESC, neighbour))::INTEGER AS place FROM t",
 }

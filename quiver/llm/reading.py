@@ -1,9 +1,10 @@
 """Reading level of prose, from the surprisal of its words under n-gram models of graded texts.
 
-One interpolated trigram model (Witten-Bell) is trained for each band of the graded texts. Every sentence of a
-document is measured by all of them; the surprisals give the weight of each band, and the document's score is the
-mean band over the words of all its sentences. An isotonic regression, fitted on scores of texts that the models
-hadn't seen (cross-fitting), maps scores monotonically to bands.
+One interpolated trigram model (Witten-Bell) is trained for each band of the graded texts. The surprisals of all words of
+a document are measured under all of them. For each step between two bands the document's score is how much less
+surprising its sentences are to the models above than to those below. An isotonic regression for each step,
+fitted on scores of texts that the models hadn't seen (cross-fitting, copies together), maps the score monotonically to
+the share of texts above the step; the level is one plus the sum of the shares.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 MOST_GRADED = 6_000
 #: Bands, parts of the cross-fitting, and a document's least band that counts as demanding.
 BANDS, FOLDS, DEMANDING = 5, 5, 3.5
-#: Words that a sentence needs for its surprisals to count in full.
-FULL_WORDS = 6
+#: Nats that the surprisal of a sentence counts more or less at most, so that no sentence decides for a document.
+MOST_CONTRAST = 1.0
 #: Characters of documents that are measured at once.
 BLOCK_CHARS = 2_000_000
 
@@ -132,24 +133,19 @@ class BandModels:
             p = np.where(c > 0, (count + k * p) / np.maximum(c + k, 1e-9), p)
         return -np.log(np.maximum(p, 1e-12)), np.repeat(np.arange(len(sizes)), sizes - 2), of_text
 
-    def scores(self, texts: list[list[list[str]]]) -> np.ndarray:
-        """Mean band over the words of each text, NaN for a text without own wording."""
+    def contrasts(self, texts: list[list[list[str]]]) -> np.ndarray:
+        """For each text and step between bands: surprisal of its sentences under the best of the models below, less that
+        under the best above, bounded for each sentence and averaged over the words; NaN for a text without own wording."""
         bits, sentence, of_text = self.surprisals(texts)
-        out = np.full(len(texts), np.nan)
+        out = np.full((len(texts), BANDS - 1), np.nan)
         if not len(bits):
             return out
         n = np.bincount(sentence)
         mean = np.stack([np.bincount(sentence, bits[:, b]) / n for b in range(BANDS)], axis=1)
-        weight = np.exp(-(mean - mean.min(1, keepdims=True)) * np.minimum(n, FULL_WORDS)[:, None])
-        weight /= weight.sum(1, keepdims=True)
-        # a sentence that no model knows tells little: its bands are nearly alike and it counts less
-        clear = (1 - weight.min(1)) * np.where(mean.min(1) < np.log(self.size), 1.0, 0.05)
-        clear = np.where(mean.min(1) < 0.75 * np.log(self.size), clear, 0.2 * clear)
-        level = weight @ np.arange(1, BANDS + 1)
-        share = n * clear + 1e-9
-        total = np.bincount(of_text, share, minlength=len(texts))
-        some = np.bincount(of_text, n, minlength=len(texts)) > 0
-        out[some] = (np.bincount(of_text, share * level, minlength=len(texts)) / np.maximum(total, 1e-12))[some]
+        words = np.bincount(of_text, n, minlength=len(texts))
+        for step in range(1, BANDS):
+            less = np.clip(n * (mean[:, :step].min(1) - mean[:, step:].min(1)), -MOST_CONTRAST, MOST_CONTRAST)
+            out[:, step - 1] = np.bincount(of_text, n * less, minlength=len(texts)) / np.where(words > 0, words, np.nan)
         return out
 
 
@@ -169,24 +165,29 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ReadingLevel:
-    """Band models with their map from scores to bands."""
+    """Band models with their maps from contrasts to shares above each step."""
 
     def __init__(self, texts: list[list[list[str]]], bands: np.ndarray, fold: np.ndarray) -> None:
         grade = np.clip(np.rint(bands), 1, BANDS).astype(int)
-        held_out = np.full(len(texts), np.nan)
+        held_out = np.full((len(texts), BANDS - 1), np.nan)
         for f in range(FOLDS):
             inside = np.flatnonzero(fold == f)
             outside = np.flatnonzero(fold != f)
             if len(inside) and len(outside):
-                held_out[inside] = BandModels([texts[i] for i in outside], grade[outside]).scores([texts[i] for i in inside])
+                held_out[inside] = BandModels([texts[i] for i in outside], grade[outside]).contrasts([texts[i] for i in inside])
         self.models = BandModels(texts, grade)
-        known = ~np.isnan(held_out)
-        self.x, self.y = isotonic(held_out[known], bands[known]) if known.any() else (np.array([1.0, BANDS]), np.array([1.0, BANDS]))
-        self.held_out = held_out
+        self.maps = []
+        for step in range(1, BANDS):
+            score, above = held_out[:, step - 1], np.clip(bands - step, 0.0, 1.0)
+            known = ~np.isnan(score)
+            if not known.any():  # one copy alone: the sign decides
+                score, above, known = np.array([-1.0, 1.0]), np.array([0.0, 1.0]), np.array([True, True])
+            self.maps.append(isotonic(score[known], above[known]))
 
     def bands(self, texts: list[list[list[str]]]) -> np.ndarray:
-        score = self.models.scores(texts)
-        return np.where(np.isnan(score), np.nan, np.interp(np.nan_to_num(score), self.x, self.y))
+        score = self.models.contrasts(texts)
+        level = 1 + sum(np.interp(np.nan_to_num(score[:, i]), *m) for i, m in enumerate(self.maps))
+        return np.where(np.isnan(score[:, 0]), np.nan, level)
 
 
 _PROSE = r"\.(?:md|rst|txt)$"
@@ -207,7 +208,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_GRADED) -> Rea
         .withColumn("h", F.xxhash64("doc_id"))
         .orderBy("h", "doc_id")
         .limit(most)
-        .select("doc_id", "text", "band", F.pmod("h", F.lit(FOLDS)).alias("fold"))
+        .select("doc_id", "text", "band", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"))
         .toPandas()
     )
     texts = [own_wording(t) for t in rows.text]

@@ -309,6 +309,37 @@ def test_reading_levels(spark):
     assert {r.doc_id for r in reading.demanding(reading.reading_levels(table, labels)).collect()} == {i for i in range(60) if i % 2 == 0}
 
 
+def test_neighbours_match_sql(spark):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from quiver.llm.queries import QUERIES, SQL
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW node_embeddings AS SELECT * FROM '{d}/node_embeddings.parquet'")
+    for name in ("p6_found", "p6_ranked"):
+        want = c.sql(SQL[name])
+        got = QUERIES[name](spark, d).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_visits_follow_the_recall(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(300, 12)), 10, axis=0) + rng.normal(size=(3000, 12)) * 0.4
+    rows = spark.createDataFrame([(int(i), [float(v) for v in np.float32(r)]) for i, r in enumerate(x)], "vec_id bigint, v array<float>")
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(3000) for j in np.argsort(-s[i], kind="stable")[:5]}
+    for recall in (0.8, 0.95):
+        found = {(r.vec_id, r.neighbour) for r in neighbours.nearest_neighbours(rows, 5, recall, 0).collect()}
+        assert len(found) == 15_000 and len(found & want) / 15_000 > recall - 0.02
+
+
 def test_queries_are_registered():
     from quiver.llm.queries import QUERIES
 
