@@ -1,12 +1,20 @@
-"""Traversal: every level is one join of the frontier with the edges, for all starts and graphs at once."""
+"""Traversal: every level is one join of the frontier with the edges, for all starts and graphs at once.
+
+The edges are brought into partitions by (graph_id, id) once and held there on the executors' disks; a level moves the
+frontier to them, and nothing else. An executor that is lost is made up for from the edges' source.
+"""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.operators.lookups import both_ways
 from quiver.session import checkpointed_in_loop as checkpointed
+from quiver.session import width
 
 _KEY = ["graph_id", "seed", "id"]
 
@@ -55,6 +63,37 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"no direction {direction!r}")
 
 
+@contextmanager
+def held(rows: DataFrame, *keys: str):
+    """`rows` in partitions by `keys`, on the executors' disks while the context lasts; joins by these keys don't move them."""
+    kept = rows.repartition(width(rows.sparkSession), *keys).persist(StorageLevel.DISK_ONLY)
+    try:
+        kept.count()  # only a cached table that is there has its partitioning known
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def _levels(ways: DataFrame, seeds: DataFrame, depth: int, more: list[str], with_path: bool = False) -> DataFrame:
+    """Ids within `depth` steps of each seed with their least depth. `ways` (graph_id, id, next, *more) hold the columns
+    `more` on which seeds and steps must agree."""
+    key = ["graph_id", *more, "seed", "id"]
+    frontier = seeds.select(*[c for c in key if c != "id"], F.col("seed").alias("id"), F.lit(0).alias("depth"), *([F.array("seed").alias("path")] if with_path else [])).distinct()
+    seen = frontier = checkpointed(frontier)
+    with held(ways, "graph_id", "id", *more) as steps:
+        for _ in range(depth):
+            moved = steps.join(frontier.hint("shuffle_hash"), ["graph_id", "id", *more])
+            # the depth comes from the rows: a literal would be compiled into new code at each level
+            new = moved.groupBy("graph_id", *more, "seed", F.col("next").alias("id")).agg(
+                (F.max("depth") + 1).alias("depth"), *([F.min(F.concat("path", F.array("next"))).alias("path")] if with_path else [])
+            )
+            frontier = checkpointed(new.join(seen.select(*key), key, "left_anti").select(*seen.columns))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+    return seen
+
+
 def reach(steps: DataFrame, seeds: DataFrame, depth: int, known: DataFrame | None = None, with_path: bool = False) -> DataFrame:
     """Least depth of all ids within `depth` steps of each seed: ``graph_id, seed, id, depth`` (and `path`).
 
@@ -62,35 +101,24 @@ def reach(steps: DataFrame, seeds: DataFrame, depth: int, known: DataFrame | Non
     followed. A path is the least of the shortest ones, compared as arrays. Cycles end by the visited ids; each level
     is written down before the next, so plans stay small.
     """
-    steps = checkpointed(steps if known is None else steps.join(known.select("graph_id", F.col("id").alias("next")).distinct(), ["graph_id", "next"], "left_semi"))
-    frontier = seeds.select("graph_id", "seed", F.col("seed").alias("id")).distinct()
+    starts = seeds.select("graph_id", "seed").distinct()
     if known is not None:
-        frontier = frontier.join(known.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_semi").select(*_KEY)
-    frontier = frontier.withColumn("depth", F.lit(0))
-    if with_path:
-        frontier = frontier.withColumn("path", F.array("id"))
-    seen = frontier = checkpointed(frontier)
-    for level in range(1, depth + 1):
-        moved = frontier.join(steps, ["graph_id", "id"])
-        new = moved.groupBy("graph_id", "seed", F.col("next").alias("id")).agg(
-            *([F.min(F.concat("path", F.array("next"))).alias("path")] if with_path else [F.count(F.lit(1)).alias("ways")])
-        )
-        new = new.join(seen.select(*_KEY), _KEY, "left_anti").withColumn("depth", F.lit(level)).select(*seen.columns)
-        frontier = checkpointed(new)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+        ids = known.select("graph_id", "id").distinct()
+        steps = steps.join(ids.withColumnRenamed("id", "next"), ["graph_id", "next"], "left_semi")
+        starts = starts.join(ids.withColumnRenamed("id", "seed"), ["graph_id", "seed"], "left_semi")
+    return _levels(steps.select("graph_id", "id", "next"), starts, depth, [], with_path)
 
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int = 10) -> DataFrame:
     """What depends on each seed and what it depends on: depths both ways, their sum `coupling`, and whether direct.
 
-    Ids without a node count, as they are references too; the seed itself doesn't.
+    Both directions go level by level together. Ids without a node count, as they are references too; the seed itself doesn't.
     """
-    down = reach(steps(edges, "down"), seeds, depth).withColumnRenamed("depth", "depth_down")
-    up = reach(steps(edges, "up"), seeds, depth).withColumnRenamed("depth", "depth_up")
-    both = down.join(up, _KEY, "full_outer").where("id <> seed")
+    ways = steps(edges, "down").withColumn("way", F.lit("down")).unionByName(steps(edges, "up").withColumn("way", F.lit("up")))
+    starts = seeds.select("graph_id", "seed", F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way"))
+    found = _levels(ways, starts, depth, ["way"]).where("id <> seed")
+    at = lambda way: F.max(F.when(F.col("way") == way, F.col("depth")))
+    both = found.groupBy(*_KEY).agg(at("down").alias("depth_down"), at("up").alias("depth_up"))
     coupling = F.coalesce("depth_down", F.lit(0)) + F.coalesce("depth_up", F.lit(0))
     return both.select(*_KEY, "depth_down", "depth_up", coupling.cast("double").alias("coupling"), (F.coalesce("depth_down", F.lit(0)) == 1).alias("direct"))
 
@@ -106,15 +134,15 @@ def fallback_impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame
 
 def all_paths(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Every way without a repeated id of up to `depth` steps: ``graph_id, seed, id, path``."""
-    steps = checkpointed(steps)
     front = seeds.select("graph_id", "seed", F.col("seed").alias("id"), F.array("seed").alias("path")).distinct()
     out = None
-    for _ in range(depth):
-        front = front.join(steps, ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
-        front = checkpointed(front.select("graph_id", "seed", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path")))
-        out = front if out is None else out.unionByName(front)
-        if front.isEmpty():
-            break
+    with held(steps, "graph_id", "id") as ways:
+        for _ in range(depth):
+            front = ways.join(front.hint("shuffle_hash"), ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
+            front = checkpointed(front.select("graph_id", "seed", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path")))
+            out = front if out is None else out.unionByName(front)
+            if front.isEmpty():
+                break
     return out
 
 
@@ -125,24 +153,24 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     are components of their own; ends without a node belong to one too.
     """
     both = steps(edges, "both").where("id <> next")
-    both = checkpointed(both)
-    ids = nodes.select("graph_id", "id").union(both.select("graph_id", "id")).distinct()
-    labels = checkpointed(ids.withColumn("component", F.col("id")))
-    while True:
-        near = both.join(labels.select("graph_id", F.col("id").alias("next"), F.col("component").alias("c")), ["graph_id", "next"])
-        least = near.groupBy("graph_id", "id").agg(F.min("c").alias("c"))
-        moved = labels.join(least, ["graph_id", "id"], "left").select(
-            "graph_id", "id", "component", F.least("component", F.coalesce("c", F.col("component"))).alias("new")
-        )
-        jump = moved.select("graph_id", F.col("id").alias("new"), F.col("new").alias("far"))
-        jumped = checkpointed(
-            moved.join(jump, ["graph_id", "new"], "left").select(
-                "graph_id", "id", F.least("new", F.coalesce("far", F.col("new"))).alias("to"), "component"
+    with held(both, "graph_id", "next") as near_to:
+        ids = nodes.select("graph_id", "id").union(near_to.select("graph_id", "id")).distinct()
+        labels = checkpointed(ids.withColumn("component", F.col("id")))
+        while True:
+            near = near_to.join(labels.select("graph_id", F.col("id").alias("next"), F.col("component").alias("c")).hint("shuffle_hash"), ["graph_id", "next"])
+            least = near.groupBy("graph_id", "id").agg(F.min("c").alias("c"))
+            moved = labels.join(least, ["graph_id", "id"], "left").select(
+                "graph_id", "id", "component", F.least("component", F.coalesce("c", F.col("component"))).alias("new")
+            )
+            jump = moved.select("graph_id", F.col("id").alias("new"), F.col("new").alias("far"))
+            jumped = checkpointed(
+                moved.join(jump, ["graph_id", "new"], "left").select(
+                    "graph_id", "id", F.least("new", F.coalesce("far", F.col("new"))).alias("to"), "component"
+                )
             )
-        )
-        labels = jumped.select("graph_id", "id", F.col("to").alias("component"))
-        if jumped.where("to <> component").isEmpty():
-            return labels
+            labels = jumped.select("graph_id", "id", F.col("to").alias("component"))
+            if jumped.where("to <> component").isEmpty():
+                return labels
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -202,3 +202,15 @@ def test_sync(spark):
     assert got == {("new", "added"), ("a", "deleted"), ("b", "modified")}
     h = f([("a", "1"), ("b", None)])
     assert sync.source_fingerprint(h).first() == sync.source_fingerprint(h.orderBy(F.desc("file_path"))).first()
+
+
+def test_traversal_moves_the_edges_once(spark):
+    edges = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}", "CALLS") for i in range(6)], "graph_id string, source string, target string, rel_type string")
+    with traverse.held(traverse.steps(edges, "down"), "graph_id", "id") as ways:
+        frontier = spark.createDataFrame([("g", "n0", "n0")], "graph_id string, seed string, id string")
+        plan = ways.join(frontier.hint("shuffle_hash"), ["graph_id", "id"])._jdf.queryExecution().executedPlan().toString()
+        before = plan.split("InMemoryTableScan")[0]
+        assert "ShuffledHashJoin" in plan and before.count("Exchange hashpartitioning") <= 1
+    seeds = spark.createDataFrame([("g", "n2")], "graph_id string, seed string")
+    got = {(r.id, r.depth_down, r.depth_up, r.direct) for r in traverse.impact(edges, seeds, 2).collect()}
+    assert got == {("n3", 1, None, True), ("n4", 2, None, False), ("n1", None, 1, False), ("n0", None, 2, False)}
