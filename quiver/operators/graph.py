@@ -130,11 +130,3 @@ def register_projects(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         F.coalesce("i.file_count", "s.file_count").alias("file_count"),
         F.coalesce("i.sync_enabled", "s.sync_enabled").alias("sync_enabled"),
     )
-
-
-def communities_by_id(assignment: DataFrame) -> DataFrame:
-    """Members of each community as rows (a community may hold most nodes), numbered by id."""
-    from pyspark.sql import Window
-
-    salted = assignment.select("graph_id", "community_id", "node_id").distinct()
-    return salted.withColumn("place", F.row_number().over(Window.partitionBy("graph_id", "community_id").orderBy("node_id")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,24 +65,99 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return top(scored, ["query"], [F.desc("score"), F.col("doc_id")], n, "doc_id")
 
 
+#: Query vectors that are held by a task at once, and that are multiplied at once.
+HELD_QUERIES, BLOCK_QUERIES = 5_000, 256
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """The `n` vectors with the highest cosine for each query vector, by exact scan: ``query_id, vec_id, score, place``.
 
-    `vectors` are (vec_id, v), `queries` (query_id, v), arrays of double of one length; zero norms are passed over.
-    Queries are what is asked at once, a bounded table; every vector is scored in the scan and only the best of each
-    salted part go on.
+    `vectors` are (vec_id, v), `queries` (query_id, v), arrays of double; vectors of another length than the query, and
+    zero norms, are passed over.
     """
-    return top(cosines(vectors, queries, "vec_id"), ["query_id"], [F.desc("score"), F.col("vec_id")], n, "vec_id")
+    return best_cosines(vectors, queries, ["vec_id"], n)
+
 
+def best_cosines(vectors: DataFrame, queries: DataFrame, key: list[str], n: int, bonus: str | None = None) -> DataFrame:
+    """The `n` best vectors of each query (query_id, v): ``query_id, *key, score, place``; ties go to the least key.
 
-def cosines(vectors: DataFrame, queries: DataFrame, *kept: str) -> DataFrame:
-    """Cosine of every vector (v and the `kept` columns) and every query vector (query_id, v), a few rows:
-    ``query_id, *kept, score``."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    a = vectors.withColumn("na", norm).where("na > 0").select(*kept, F.col("v").alias("a"), "na")
-    b = F.broadcast(queries.withColumn("nb", norm).where("nb > 0").select("query_id", F.col("v").alias("b"), "nb"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, F.size("a") == F.size("b")).select("query_id", *kept, F.round(dot / F.col("na") / F.col("nb"), 6).alias("score"))
+    Scores are cosines to six digits, plus the column `bonus` of the vectors. Every vector is compared with every query by
+    matrix products over batches; queries are held in groups of `HELD_QUERIES`, each of which reads the vectors once,
+    and of a batch only the best go on.
+    """
+    spark = vectors.sparkSession
+    total = queries.count()
+    groups = max(1, -(-total // HELD_QUERIES))
+    numbered = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"))
+    types = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = "query_id " + {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"] + ", " + ", ".join(f"{c} {types[c]}" for c in key) + ", score double"
+    rows = vectors.select(*key, "v", (F.col(bonus) if bonus else F.lit(0.0)).cast("double").alias("_bonus"))
+    out = None
+    for g in range(groups):
+        asked = numbered.where(F.col("g") == g).toPandas()
+        held = spark.sparkContext.broadcast(_by_length(asked["query_id"].tolist(), asked["v"].tolist()))
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = batch.sort_values(key, kind="stable").reset_index(drop=True)
+                for at, unit in _by_length(np.arange(len(batch)), batch["v"].tolist()).values():
+                    names, asked = held.value.get(unit.shape[1], (None, None))
+                    if names is None:
+                        continue
+                    extra = batch["_bonus"].to_numpy()[at]
+                    for begin in range(0, len(names), BLOCK_QUERIES):
+                        score = np.round(np.round(asked[begin : begin + BLOCK_QUERIES] @ unit.T, 6) + extra, 6)
+                        row, place = _firsts(score, n)
+                        found = batch.iloc[at[place]][key].reset_index(drop=True)
+                        found.insert(0, "query_id", names[begin + row])
+                        yield found.assign(score=score[row, place])
+
+        found = rows.mapInPandas(scan, schema)
+        out = found if out is None else out.unionByName(found)
+    return top(out, ["query_id"], [F.desc("score"), *map(F.col, key)], n, key[-1])
+
+
+def _by_length(names, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Names and unit vectors by the vectors' length, in order; nulls and zero vectors left out."""
+    groups: dict[int, list] = {}
+    for name, v in zip(names, vectors):
+        if v is not None and len(v):
+            groups.setdefault(len(v), []).append((name, v))
+    out = {}
+    for length, pairs in groups.items():
+        x = np.array([v for _, v in pairs], dtype=np.float64)
+        norm = np.sqrt((x * x).sum(1))
+        keep = norm > 0
+        if keep.any():
+            out[length] = np.array([p for p, _ in pairs])[keep], x[keep] / norm[keep][:, None]
+    return out
+
+
+def _firsts(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `n` highest of each row; of equals the first columns."""
+    if score.shape[1] <= n:
+        return tuple(x.ravel() for x in np.indices(score.shape))
+    least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n][:, None]
+    over = score > least
+    equal = score == least
+    return np.nonzero(over | (equal & (np.cumsum(equal, axis=1) <= n - over.sum(1, keepdims=True))))
+
+
+def name_words(text: Column) -> Column:
+    """Distinct words of a name: runs of letters and digits, in lower case."""
+    return F.array_distinct(terms(text))
+
+
+def word_ranking(nodes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The `n` nodes whose names hold most words of each query (query_id, text): ``query_id, graph_id, id, score, place``.
+
+    The score is the share of the query's words; a word is one side of an equi-join, so no query meets every node.
+    """
+    q = queries.select("query_id", name_words(F.col("text")).alias("w")).select("query_id", F.size("w").alias("words"), F.explode("w").alias("word"))
+    names = nodes.select("graph_id", "id", F.explode(name_words(F.col("name"))).alias("word"))
+    hits = names.join(q, "word").groupBy("query_id", "words", "graph_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    scored = hits.select("query_id", "graph_id", "id", F.round(F.col("n") / F.col("words"), 6).alias("score"))
+    return top(scored, ["query_id"], [F.desc("score"), F.col("graph_id"), F.col("id")], n, "id")
 
 
 def rrf(semantic: DataFrame, keyword: DataFrame, key: str, n: int) -> DataFrame:
@@ -118,9 +197,7 @@ def find_equivalent(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, wa
     module = word(F.col("module"))
     inside = (F.size(module) > 0) & (F.size(F.array_except(module, word(F.lit(hint)))) == 0)
     bonus = F.when(inside, 0.1).otherwise(0.0) if qualified else F.lit(0.0)
-    rows = cosines(rows.withColumn("bonus", bonus), queries, "graph_id", "id", "bonus")
-    scored = rows.select("query_id", "graph_id", "id", F.round(F.col("score") + F.col("bonus"), 6).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("graph_id"), F.col("id")], n, "id")
+    return best_cosines(rows.withColumn("bonus", bonus), queries, ["graph_id", "id"], n, "bonus")
 
 
 def embedding_text(nodes: DataFrame) -> DataFrame:

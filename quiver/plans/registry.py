@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.plans import analytics, hygiene, lookups, pipeline, search, sync
+from quiver.plans import analytics, hygiene, lookups, pipeline, search, sync, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (lookups, hygiene, analytics, search, sync, pipeline)
+_MODULES = (lookups, hygiene, analytics, search, sync, pipeline, tools)
 
 
 def queries() -> dict[str, Query]:

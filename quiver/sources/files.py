@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quiver.functions import paths
 
 # What an extensionless specifier may stand for, in this order, and default patterns of ignored paths.
-CANDIDATES = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
-IGNORED = (".git", "__pycache__", "*.pyc", "node_modules", ".venv", "venv", ".tox", ".pytest_cache", ".mypy_cache", "*.egg-info", "dist", "build", ".idea", ".vscode")
+CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".d.ts", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.d.ts")
+IGNORED = (
+    ".git", "__pycache__", "*.pyc", "node_modules", ".venv", "venv", ".tox", ".pytest_cache", ".mypy_cache", "*.egg-info", "dist", "build",
+    ".idea", ".vscode", ".DS_Store", ".claude", "worktrees", ".worktrees", "external", ".gc", "_tmp", ".gemini", "archive",
+)
 
 
 def discover(spark: SparkSession, root: str, endings: tuple[str, ...], ignored: tuple[str, ...] = IGNORED, max_size: int = 1_000_000) -> DataFrame:
@@ -88,28 +91,3 @@ def refine_calls(calls: DataFrame, occurrences: DataFrame, definitions: DataFram
         .join(n, ["graph_id", "df", "dl"], "left")
     )
     return rows.select("graph_id", "source", F.coalesce("to", "target").alias("target"), F.when(F.col("to").isNotNull(), "scip-python").alias("resolved_by"), "file_path", "line", "col")
-
-
-def renamed_tables(tables: dict[str, DataFrame], aliases: dict[str, str], prefix: str | None = None) -> dict[str, DataFrame]:
-    """Tables under other names too, restricted to a path prefix where they have paths."""
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.where(F.startswith(F.col("file_path"), F.lit(prefix))) if prefix and "file_path" in df.columns else df
-
-    return {name: cut(df) for name, df in tables.items()} | {a: cut(tables[t]) for a, t in aliases.items() if t in tables}
-
-
-def briefing(callers: DataFrame, modules: DataFrame, findings: DataFrame, ranks: DataFrame) -> DataFrame:
-    """What to know before changing a symbol: per seed and module of its callers their number, nearest depth, findings in
-    their files, and their best rank.
-
-    `callers` (graph_id, seed, id, depth, file_path), `modules` (graph_id, file_path, module), `findings` (graph_id,
-    file_path, rule), `ranks` (graph_id, file_path, rank).
-    """
-    f = findings.groupBy("graph_id", "file_path").agg(F.count(F.lit(1)).alias("findings"))
-    r = ranks.groupBy("graph_id", "file_path").agg(F.min("rank").alias("rank"))
-    files = callers.groupBy("graph_id", "seed", "file_path").agg(F.count(F.lit(1)).alias("callers"), F.min("depth").alias("nearest"))
-    rows = files.join(modules, ["graph_id", "file_path"], "left").join(f, ["graph_id", "file_path"], "left").join(r, ["graph_id", "file_path"], "left")
-    return rows.groupBy("graph_id", "seed", "module").agg(
-        F.sum("callers").alias("callers"), F.min("nearest").alias("nearest"), F.sum(F.coalesce("findings", F.lit(0))).alias("findings"), F.min("rank").alias("best_rank")
-    )

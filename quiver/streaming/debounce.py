@@ -40,7 +40,8 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 def merge_latest(state_folder: str):
     """A `foreachBatch` function that keeps the last hash of each file: every batch writes a new version of the state.
 
-    A version is named by its batch, so a batch that is repeated after a failure overwrites its own.
+    A version is named by its batch, so a batch that is repeated after a failure overwrites its own; versions before the
+    one it is made from are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -53,5 +54,25 @@ def merge_latest(state_folder: str):
         rows = batch if not older else spark.read.parquet(f"{state_folder}/v{older[-1]}").unionByName(batch)
         last = rows.groupBy("graph_id", "file_path").agg(F.max(F.struct("indexed_at", "content_hash")).alias("r"))
         last.select("graph_id", "file_path", "r.indexed_at", "r.content_hash").write.mode("overwrite").parquet(f"{state_folder}/v{number}")
+        for v in older[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{state_folder}/v{v}"), True)
 
     return merge
+
+
+def latest_state(spark: SparkSession, state_folder: str) -> DataFrame:
+    """The state after the last batch of `merge_latest`."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max(int(s.getPath().getName()[1:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v"))
+    return spark.read.parquet(f"{state_folder}/v{last}")
+
+
+def run_batches(stream: DataFrame, each, checkpoint: str, every: str | None = None) -> None:
+    """Run a `foreachBatch` function over what is there, or, with a time like ``10 seconds``, start it at that interval and
+    return at once. One run at a time holds a checkpoint; a second one on the same folder fails."""
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        writer.trigger(processingTime=every).start()
