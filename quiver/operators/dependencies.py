@@ -35,22 +35,25 @@ def _ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 class FileDependencies:
     """Views over one state of a graph.
 
-    `nodes` and `edges` are the raw tables, `projects` gives the repository roots. The current nodes and the edges that
-    can make a dependency are worked out once and kept in the shared folder, as every view reads them several times; the
-    views themselves are lazy plans.
+    `nodes` and `edges` are the raw tables, `projects` gives the repository roots. Views are lazy plans; what a plan reads
+    several times it shuffles once. With `keep`, the current nodes and the edges that can make a dependency are worked
+    out once and kept in the shared folder, for callers that run several views.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, projects: DataFrame) -> None:
-        self._raw_nodes, self._raw_edges, self.projects = nodes, edges, projects
+    def __init__(self, nodes: DataFrame, edges: DataFrame, projects: DataFrame, keep: bool = False) -> None:
+        self._raw_nodes, self._raw_edges, self.projects, self._keep = nodes, edges, projects, keep
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return checkpointed(relative(current_nodes(self._raw_nodes, "labels", "file_path", "resolved_source"), self.projects))
+        return self._kept(relative(current_nodes(self._raw_nodes, "labels", "file_path", "resolved_source"), self.projects))
 
     @cached_property
     def edges(self) -> DataFrame:
         telling = F.col("rel_type").isin("REFERENCES", "CALLS", "IMPORTS", "IMPORTS_SYMBOL")
-        return checkpointed(current_edges(self._raw_edges.where(telling), "resolved_by", "from_module"))
+        return self._kept(current_edges(self._raw_edges.where(telling), "resolved_by", "from_module"))
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        return checkpointed(rows) if self._keep else rows
 
     def precise(self) -> DataFrame:
         """Pairs of files from compiler-resolved edges, one row for each edge."""

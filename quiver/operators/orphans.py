@@ -3,7 +3,8 @@
 Parent and child keys are brought into one long form and grouped by parent key. Partial aggregation does the work
 before the shuffle, so a key that a third of all edges point to costs each task one row. Groups that certainly have a
 live parent whenever they are used are dropped, and only the rest meets the edges again. Where parents were deleted
-meanwhile, running balances of live rows by key and day decide, so that no key's rows meet in one task.
+meanwhile, running balances of live rows by key and day, minute and instant decide, so that no key's rows meet in one
+task. The uses meet the lacking groups by a join that adaptive execution may split where a key is hot.
 """
 
 from __future__ import annotations
@@ -120,51 +121,58 @@ def _same_key(left: str, right: str, *also: str) -> Column:
     return same
 
 
-def _sweep(children: DataFrame, events: DataFrame) -> DataFrame:
-    """State of uses of parents that were deleted at some time, from running balances by key and day."""
-    long = children.select(
-        "graph_id", "key", "day", *[F.lit(0).alias(c) for c in ("live", "loads", "changes")], F.lit(1).alias("uses")
-    ).unionByName(
-        events.select("graph_id", "key", "day", "live", "loads", F.lit(1).alias("changes"), F.lit(0).alias("uses"))
-    )
-    days = long.groupBy("graph_id", "key", "day").agg(
-        *[F.sum(c).alias(c) for c in ("live", "loads", "changes", "uses")]
+_KEY = ["graph_id", "key"]
+
+
+def _balances(children: DataFrame, events: DataFrame, part: list[str], step: str) -> DataFrame:
+    """Uses with the parent's balance before their `step` (a column of both), and the parent's changes within it.
+
+    The balances run over the steps of each `part`, not over rows. Uses carry the balance before the part.
+    """
+    counts = ["live", "loads", "changes", "uses"]
+    opening = [F.max(c).alias(c) for c in ("live_before", "loads_before")]
+    long = children.select(*part, step, *[F.lit(0).alias(c) for c in counts[:3]], F.lit(1).alias("uses"), "live_before", "loads_before").unionByName(
+        events.select(*part, step, "live", "loads", F.lit(1).alias("changes"), F.lit(0).alias("uses")), allowMissingColumns=True
     )
-    before = Window.partitionBy("graph_id", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    groups = days.select(
-        "graph_id",
-        "key",
-        "day",
-        "changes",
-        "uses",
-        F.coalesce(F.sum("live").over(before), F.lit(0)).alias("live_before"),
-        F.coalesce(F.sum("loads").over(before), F.lit(0)).alias("loads_before"),
-    ).where((F.col("uses") > 0) & ((F.col("changes") > 0) | (F.col("live_before") == 0)))
-    uses = checkpointed(
-        children.alias("c")
-        .join(groups.alias("g"), _same_key("c", "g", "day"))
-        .select("c.*", "g.changes", "g.live_before", "g.loads_before")
+    steps = long.groupBy(*part, step).agg(*[F.sum(c).alias(c) for c in counts], *opening)
+    whole = Window.partitionBy(*part)
+    before = whole.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    balance = lambda n: (F.coalesce(F.max(f"{n}_before").over(whole), F.lit(0)) + F.coalesce(F.sum(n).over(before), F.lit(0))).alias(f"{n}_before")
+    groups = steps.select(*part, step, "changes", "uses", balance("live"), balance("loads")).where((F.col("uses") > 0) & ((F.col("changes") > 0) | (F.col("live_before") == 0)))
+    joined = children.drop("live_before", "loads_before").alias("c").join(groups.alias("g"), _same_key("c", "g", *[c for c in (*part, step) if c not in _KEY]))
+    return checkpointed(joined.select("c.*", "g.changes", "g.live_before", "g.loads_before"))
+
+
+def _sweep(children: DataFrame, events: DataFrame) -> DataFrame:
+    """State of uses of parents that were deleted at some time, from running balances by key and day, for days with a
+    change of the parent by minute, and for minutes with one by instant.
+
+    Windows run over days of a key, minutes of a day and distinct instants of a minute: a parent that is used by a third
+    of all edges and sent again every day still is many small partitions.
+    """
+    zero = F.lit(0).cast("bigint")
+    children = children.withColumns({"minute": F.date_trunc("minute", "t"), "live_before": zero, "loads_before": zero})
+    events = events.withColumn("minute", F.date_trunc("minute", "at"))
+    by_day = _balances(children, events, _KEY, "day")
+    by_minute = _balances(by_day.where("changes > 0").drop("changes"), events, [*_KEY, "day"], "minute")
+    settled = by_day.where("changes = 0").unionByName(by_minute.where("changes = 0"))
+    # minutes with a change: the balance at each distinct instant of them
+    rest = by_minute.where("changes > 0").drop("changes")
+    upto = Window.partitionBy(*_KEY, "minute").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    instants = (
+        rest.groupBy(*_KEY, "minute", F.col("t").alias("at")).agg(zero.alias("live"), zero.alias("loads"), F.max("live_before").alias("live_before"), F.max("loads_before").alias("loads_before"), F.lit(True).alias("use"))
+        .unionByName(events.select(*_KEY, "minute", "at", "live", "loads"), allowMissingColumns=True)
+        .select(*_KEY, "minute", "at", "use", *[(F.col(f"{n}_before") + F.sum(n).over(upto)).alias(f"{n}_before") for n in ("live", "loads")])
+        .where("use")
     )
-    # days without a change of the parent: the opening balance decides
-    settled = uses.where("changes = 0").drop("changes")
-    # days with a change: sweep over the day's changes and uses in order of time
-    upto = Window.partitionBy("graph_id", "key", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    moving = (
-        uses.where("changes > 0")
-        .drop("changes")
-        .withColumns({"at": F.col("t"), "live": F.lit(0).cast("bigint"), "loads": F.lit(0).cast("bigint")})
-        .unionByName(events, allowMissingColumns=True)
-        .withColumns(
-            {
-                "live_before": F.col("live_before") + F.sum("live").over(upto),
-                "loads_before": F.col("loads_before") + F.sum("loads").over(upto),
-            }
-        )
-        .where(F.col("side").isNotNull())
-        .select(*settled.columns)
+    moving = rest.drop("live_before", "loads_before").alias("c").join(
+        instants.withColumnRenamed("at", "t").alias("g"), _same_key("c", "g", "minute", "t")
     )
     state = F.when(F.col("loads_before") == 0, "late").otherwise("deleted")
-    return settled.unionByName(moving).where("live_before = 0").select(*_edge(), state.alias("state"), "t")
+    columns = [*children.columns[:6], "t", "live_before", "loads_before"]
+    columns = list(dict.fromkeys(columns))
+    every = settled.select(*columns).unionByName(moving.select(*[f"c.{c}" for c in columns[:-2]], "g.live_before", "g.loads_before"))
+    return every.where("live_before = 0").select(*_edge(), state.alias("state"), "t")
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:

@@ -71,7 +71,10 @@ def orphan_module(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
-    pairs = files(spark, d).pairs()
+    return _components_of(files(spark, d).pairs())
+
+
+def _components_of(pairs: DataFrame) -> DataFrame:
     return traverse.strong_components(pairs.select("graph_id", F.col("sf").alias("source"), F.col("tf").alias("target")))
 
 
@@ -104,13 +107,13 @@ def layer_violation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    view = files(spark, d)
-    found = rules.analyse(view.indexed(), view.pairs(), _components(spark, d))
+    view = files(spark, d, keep=True)
+    found = rules.analyse(view.indexed(), view.pairs(), _components_of(view.pairs()))
     return rules.finding_ids(found, table(spark, d, "projects"))
 
 
 def finding_counts(spark: SparkSession, d: str) -> DataFrame:
-    view = files(spark, d)
+    view = files(spark, d, keep=True)
     found = rules.deep_imports(view.pairs()).unionByName(rules.upward_imports(view.pairs())).unionByName(rules.orphan_modules(view.indexed(), view.pairs()))
     return found.groupBy("graph_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -136,8 +139,9 @@ def web_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def placement_rank(spark: SparkSession, d: str) -> DataFrame:
-    known = rules.assign_modules(files(spark, d).indexed(), _architecture(spark)[0])
-    imports = files(spark, d).pairs().select("graph_id", F.col("sf"), F.col("tf").alias("file_path"))
+    view = files(spark, d, keep=True)
+    known = rules.assign_modules(view.indexed(), _architecture(spark)[0])
+    imports = view.pairs().select("graph_id", F.col("sf"), F.col("tf").alias("file_path"))
     refs = imports.join(known, ["graph_id", "file_path"], "left").select(F.concat_ws("/", "graph_id", "sf").alias("item"), "module")
     modules = _architecture(spark)[0]
     allowed = modules.select("module", F.explode("may_depend_on").alias("target"))

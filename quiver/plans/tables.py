@@ -17,8 +17,8 @@ def edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_edges(table(spark, d, "edges"), *columns)
 
 
-def files(spark: SparkSession, d: str) -> FileDependencies:
-    return FileDependencies(table(spark, d, "nodes"), table(spark, d, "edges"), table(spark, d, "projects"))
+def files(spark: SparkSession, d: str, keep: bool = False) -> FileDependencies:
+    return FileDependencies(table(spark, d, "nodes"), table(spark, d, "edges"), table(spark, d, "projects"), keep)
 
 
 #: Current nodes `n` and edges `e`.

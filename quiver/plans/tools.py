@@ -151,14 +151,14 @@ SURFACES = [("sources", "src/*/__init__.py"), ("sources", "src/*/index.*"), ("li
 
 
 def declared_surface(spark: SparkSession, d: str) -> DataFrame:
-    view = files(spark, d)
+    view = files(spark, d, keep=True)
     modules = rules.assign_modules(view.indexed(), hygiene._architecture(spark)[0])
     return C.declared_surfaces(view.pairs(), view.indexed(), modules, spark.createDataFrame(SURFACES, "module string, pattern string"))
 
 
 def change_briefing(spark: SparkSession, d: str) -> DataFrame:
     """Of the hub of each graph, callers up to five steps away, by the files they are in."""
-    view = files(spark, d)
+    view = files(spark, d, keep=True)
     found = traverse.reach(traverse.steps(edges(spark, d), "up"), analytics._seeds(spark, d), 5, known=nodes(spark, d)).where("id <> seed")
     callers = found.join(view.nodes.select("graph_id", "id", "file_path"), ["graph_id", "id"])
     modules = rules.assign_modules(view.indexed(), hygiene._architecture(spark)[0])

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from datetime import timedelta as _timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ def _orphans(nodes, edges):
     return out
 
 
-def test_orphans_match_brute_force(spark):
+@pytest.mark.parametrize("unit", [3600, 60, 7])
+def test_orphans_match_brute_force(spark, unit):
     rnd = random.Random(5)
+    timedelta = lambda hours: _timedelta(seconds=hours * unit)
     when = lambda: T0 + timedelta(hours=rnd.randrange(72))
     nodes = []
     for _ in range(150):
@@ -53,6 +56,18 @@ def test_orphans_of_empty_tables_and_nulls(spark):
     assert [r.side for r in orphans.orphan_references(known, some).collect()] == ["target"]
 
 
+def test_orphans_of_a_hot_parent_that_is_sent_again_every_day(spark):
+    days = [T0 + timedelta(days=i) for i in range(4)]
+    nodes = [("g", "hub", at, at + timedelta(hours=12), "x") for at in days] + [("g", "n", T0, None, "x")]
+    edges = spark.range(40_000).select(
+        F.lit("g").alias("graph_id"), F.lit("n").alias("source"), F.when(F.col("id") % 3 == 0, "hub").when(F.col("id") % 3 == 1, "gone").otherwise("n").alias("target"),
+        F.concat(F.lit("r"), "id").alias("rel_type"), (F.lit(T0) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * 8)).alias("loaded_at"), F.lit("x").alias("id"),
+    )
+    got = {(r.target, r.state): r.n for r in orphans.orphan_references(spark.createDataFrame(nodes, NODES), edges).groupBy("target", "state").agg(F.count("*").alias("n")).collect()}
+    late_half = sum(1 for i in range(0, 40_000, 3) if (i * 8) % 86_400 >= 43_200)
+    assert got == {("hub", "deleted"): late_half, ("gone", "missing"): 13_333}
+
+
 def test_pending_files(spark):
     at = lambda h: T0 + timedelta(hours=h)
     hashes = spark.createDataFrame(
