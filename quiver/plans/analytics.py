@@ -301,6 +301,12 @@ SELECT graph_id, model, embedded, eligible, round(embedded::DOUBLE / eligible, 3
 LEFT JOIN (SELECT graph_id, count(DISTINCT community) AS communities FROM lab GROUP BY ALL) USING (graph_id)"""
     ),
 }
+SQL["format_context"] = (
+    _G
+    + """, b AS (SELECT graph_id, id, next FROM both_ QUALIFY row_number() OVER (PARTITION BY graph_id, id ORDER BY next) <= 5),
+l AS (SELECT graph_id, id, string_agg(next, ', ' ORDER BY next) AS near FROM b GROUP BY ALL)
+SELECT graph_id, id, concat_ws(chr(10), concat_ws(' ', coalesce(name, id), '[' || labels[-1] || ']'), 'file: ' || file_path, 'near: ' || near) AS text FROM n LEFT JOIN l USING (graph_id, id)"""
+)
 SQL["hotspots"] = (
     SQL["degree_centrality"].replace("SELECT graph_id, id, CASE WHEN c = 1", ", dc AS (SELECT graph_id, id, file_path, CASE WHEN c = 1")
     + f""")

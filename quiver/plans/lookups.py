@@ -120,13 +120,14 @@ def current_graph(spark: SparkSession, d: str) -> DataFrame:
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "nodes")
     stored = raw.where("loaded_at < timestamp '2025-07-01'")
-    return graph.upsert_nodes(stored, raw.where("loaded_at >= timestamp '2025-07-01'")).select("graph_id", "id", "labels", "file_path")
+    return graph.upsert_nodes(stored, raw.where("loaded_at >= timestamp '2025-07-01'")).select("graph_id", "id", "labels", "file_path", "is_external", "properties")
 
 
 def edge_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Everything comes in again over what was there; the mark tells which row stays."""
     every = edges(spark, d, "loaded_at")
-    old = every.where("loaded_at < timestamp '2025-07-01'")
-    return graph.insert_edges(old, every).groupBy("graph_id", "rel_type").agg(F.count(F.lit(1)).alias("n"))
+    old = every.where("loaded_at < timestamp '2025-07-01'").withColumn("mark", F.lit("stored"))
+    return graph.insert_edges(old, every.withColumn("mark", F.lit("incoming"))).select("graph_id", "source", "target", "rel_type", "mark")
 
 
 def delete_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -137,10 +138,8 @@ def delete_graph(spark: SparkSession, d: str) -> DataFrame:
 def delete_file_facts(spark: SparkSession, d: str) -> DataFrame:
     n, e = nodes(spark, d, "file_path"), edges(spark, d, "owner_file_path")
     gone = table(spark, d, "file_hashes").where("content_hash like 'error:%'").select("graph_id", "file_path")
-    left = graph.delete_file_edges(e, n, gone).groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
-    known = n.where(F.col("file_path").isNotNull())
-    kept = graph.delete_file_nodes(known, gone).unionByName(n.where(F.col("file_path").isNull())).groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
-    return left.join(kept, "graph_id", "full_outer").na.fill(0)
+    left = graph.delete_file_edges(e, n, gone).select("graph_id", F.lit("edge").alias("part"), F.concat_ws(" ", "source", "rel_type", "target").alias("value"))
+    return left.unionByName(graph.delete_file_nodes(n, gone).select("graph_id", F.lit("node").alias("part"), F.col("id").alias("value")))
 
 
 def register_project(spark: SparkSession, d: str) -> DataFrame:
@@ -230,22 +229,23 @@ FROM g GROUP BY ALL""",
     + """SELECT graph_id, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges FROM (SELECT graph_id, count(*) AS nodes FROM n GROUP BY ALL)
 FULL JOIN (SELECT graph_id, count(*) AS edges FROM e GROUP BY ALL) USING (graph_id)""",
     "upsert_merge": """WITH r AS (
-  SELECT *, row_number() OVER (PARTITION BY graph_id, id ORDER BY loaded_at DESC, file_path DESC NULLS LAST) AS k FROM nodes),
+  SELECT *, row_number() OVER (PARTITION BY graph_id, id ORDER BY loaded_at DESC, file_path DESC NULLS LAST, is_external DESC NULLS LAST, properties DESC NULLS LAST) AS k FROM nodes),
 g AS (
   SELECT graph_id, id, bool_or(list_has_any(labels, ['CodeFile','CodeModule'])) AND bool_or(list_contains(labels, 'CodeImport')) AS hit,
-    max(file_path) AS known, list_sort(list_distinct(flatten(list(labels)))) AS united FROM nodes GROUP BY ALL)
-SELECT graph_id, id, CASE WHEN hit THEN united ELSE list_sort(labels) END AS labels, CASE WHEN hit THEN known ELSE file_path END AS file_path
+    max(file_path) AS known, list_sort(list_distinct(flatten(list(labels)))) AS united, bool_and(is_external) AS outside,
+    arg_max(properties, (coalesce(length(properties), 0), properties)) AS richest FROM nodes GROUP BY ALL)
+SELECT graph_id, id, CASE WHEN hit THEN united ELSE list_sort(labels) END AS labels, CASE WHEN hit THEN known ELSE file_path END AS file_path,
+  CASE WHEN hit THEN outside ELSE is_external END AS is_external, CASE WHEN hit THEN richest ELSE properties END AS properties
 FROM r JOIN g USING (graph_id, id) WHERE k = 1""",
-    "edge_insert": _G + "SELECT graph_id, rel_type, count(*) AS n FROM e GROUP BY ALL",
+    "edge_insert": _G + "SELECT graph_id, source, target, rel_type, CASE WHEN loaded_at < TIMESTAMPTZ '2025-07-01 00:00:00+00' THEN 'stored' ELSE 'incoming' END AS mark FROM e",
     "delete_graph": _G + "SELECT graph_id, count(*) AS nodes FROM n WHERE graph_id NOT IN (SELECT graph_id FROM projects WHERE NOT sync_enabled) GROUP BY ALL",
     "delete_file_facts": _G
     + """, g AS (SELECT DISTINCT graph_id, file_path FROM file_hashes WHERE content_hash LIKE 'error:%'),
-i AS (SELECT n.graph_id, n.id FROM n JOIN g USING (graph_id, file_path)),
-k AS (
-  SELECT * FROM e WHERE (owner_file_path IS NOT NULL AND (graph_id, owner_file_path) NOT IN (SELECT graph_id, file_path FROM g))
-   OR (owner_file_path IS NULL AND (graph_id, source) NOT IN (SELECT graph_id, id FROM i) AND (graph_id, target) NOT IN (SELECT graph_id, id FROM i)))
-SELECT graph_id, coalesce(edges, 0) AS edges, coalesce(nodes, 0) AS nodes FROM (SELECT graph_id, count(*) AS edges FROM k GROUP BY ALL)
-FULL JOIN (SELECT graph_id, count(*) AS nodes FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.graph_id = n.graph_id AND g.file_path = n.file_path) GROUP BY ALL) USING (graph_id)""",
+i AS (SELECT n.graph_id, n.id FROM n JOIN g USING (graph_id, file_path))
+SELECT graph_id, 'edge' AS part, source || ' ' || rel_type || ' ' || target AS value FROM e WHERE CASE WHEN owner_file_path IS NOT NULL
+  THEN (graph_id, owner_file_path) NOT IN (SELECT graph_id, file_path FROM g)
+  ELSE (graph_id, source) NOT IN (SELECT graph_id, id FROM i) AND (graph_id, target) NOT IN (SELECT graph_id, id FROM i) END
+UNION ALL SELECT graph_id, 'node', id FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.graph_id = n.graph_id AND g.file_path = n.file_path)""",
     "register_project": "SELECT graph_id, repo_path, created_at, last_indexed, (file_count + CASE WHEN sync_enabled THEN 1 ELSE 0 END)::INTEGER AS file_count, sync_enabled FROM projects",
     "graph_list": _G + "SELECT graph_id, repo_path, count(DISTINCT n.file_path) AS files FROM projects JOIN n USING (graph_id) GROUP BY ALL HAVING count(DISTINCT n.file_path) > 0",
 }

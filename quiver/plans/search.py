@@ -121,3 +121,13 @@ r AS (SELECT query, graph_id, id, CASE WHEN id = query THEN 1 WHEN name = query
   ON contains(lower(id), lower(query)) OR contains(lower(coalesce(name, '')), lower(query)) OR contains(lower(coalesce(qualname, '')), lower(query)))
 SELECT query, graph_id, id, tier FROM r QUALIFY tier = min(tier) OVER (PARTITION BY query, graph_id)""",
 }
+
+_J = "CASE WHEN json_valid(properties) THEN json_extract_string(properties, '$.{0}') END"
+_PART = lambda c: f"nullif(trim({c}, ' '), '')"
+SQL["embedding_text"] = (
+    _G
+    + f""", p AS (SELECT graph_id, id, name, module, labels, {_J.format('signature')} AS sg, {_J.format('docstring')} AS ds, {_J.format('documentation')} AS dc, {_J.format('snippet')} AS sn,
+  CASE WHEN json_valid(properties) THEN json_extract_string(properties, '$.parameters[*]') END AS ps FROM n)
+SELECT graph_id, id, concat_ws(' ', {_PART('name')}, lower(regexp_replace(labels[-1], '^Code', '')), 'in ' || {_PART('module')}, {_PART('sg')},
+  CASE WHEN len(ps) > 0 THEN '(' || array_to_string(ps, ', ') || ')' END, ': ' || coalesce({_PART('ds')}, {_PART('dc')}, {_PART('sn')})) AS text FROM p"""
+)

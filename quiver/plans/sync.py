@@ -113,3 +113,17 @@ SQL = {
 s AS (SELECT key, ts, sum(f) OVER (PARTITION BY key ORDER BY ts) AS k FROM e)
 SELECT key, min(ts) AT TIME ZONE 'UTC' AS start, max(ts) AT TIME ZONE 'UTC' AS "end", count(*) AS changes FROM s GROUP BY key, k""",
 }
+
+SQL["source_fingerprint"] = """WITH c AS (SELECT graph_id, file_path, arg_max(content_hash, (indexed_at, content_hash)) AS ch FROM file_hashes
+  WHERE content_hash IS NOT NULL AND content_hash NOT LIKE 'error:%' GROUP BY ALL),
+h AS (SELECT graph_id, sha256(file_path || chr(10) || ch) AS h FROM c),
+s AS (SELECT graph_id, count(*) AS files, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR AS l{i}" for i in range(4)) + """ FROM h GROUP BY ALL)
+SELECT graph_id, files, sha256(l0 || ':' || l1 || ':' || l2 || ':' || l3) AS fingerprint FROM s"""
+SQL["code_snippets"] = """WITH s AS (SELECT DISTINCT graph_id, id, file_path, line_start, line_end FROM nodes WHERE line_start IS NOT NULL AND line_end IS NOT NULL),
+d AS (SELECT graph_id, file_path, string_split_regex(arg_max(text, (crawled_at, doc_id)), '\\r\\n|\\r|\\n') AS l FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT graph_id, id, array_to_string(list_transform(range(greatest(line_start - 2, 1), least(line_end + 2, len(l)) + 1),
+  lambda k: CASE WHEN k BETWEEN line_start AND line_end THEN '>>> ' ELSE '    ' END || lpad(k::VARCHAR, 4, ' ') || ' | ' || l[k]), chr(10)) AS snippet FROM s JOIN d USING (graph_id, file_path)"""
+SQL["streaming_debounce"] = """WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT key, ts, sum(f) OVER (PARTITION BY key ORDER BY ts) AS k FROM e),
+g AS (SELECT key, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS changes FROM s GROUP BY key, k)
+SELECT key, a AT TIME ZONE 'UTC' AS start, b AT TIME ZONE 'UTC' AS "end", changes FROM g WHERE b <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
