@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,8 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return top(scored, ["query"], [F.desc("score"), F.col("doc_id")], n, "doc_id")
 
 
+#: Places of words that a worker remembers.
+KEPT_WORDS = 1_000_000
 #: Query vectors that are held by a task at once, and that are multiplied at once.
 HELD_QUERIES, BLOCK_QUERIES = 5_000, 256
 
@@ -78,10 +83,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     return best_cosines(vectors, queries, ["vec_id"], n)
 
 
-def best_cosines(vectors: DataFrame, queries: DataFrame, key: list[str], n: int, bonus: str | None = None) -> DataFrame:
+def nearest_by_distance(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The same by Euclidean distance, as vector indexes rank: the score is 1 / (1 + distance), and zero vectors count."""
+    return best_cosines(vectors, queries, ["vec_id"], n, distance=True)
+
+
+def best_cosines(vectors: DataFrame, queries: DataFrame, key: list[str], n: int, bonus: str | None = None, distance: bool = False) -> DataFrame:
     """The `n` best vectors of each query (query_id, v): ``query_id, *key, score, place``; ties go to the least key.
 
-    Scores are cosines to six digits, plus the column `bonus` of the vectors. Every vector is compared with every query by
+    Scores are cosines (or 1 / (1 + distance)) to six digits, plus the column `bonus` of the vectors. Every vector is compared with every query by
     matrix products over batches; queries are held in groups of `HELD_QUERIES`, each of which reads the vectors once,
     and of a batch only the best go on.
     """
@@ -95,18 +105,23 @@ def best_cosines(vectors: DataFrame, queries: DataFrame, key: list[str], n: int,
     out = None
     for g in range(groups):
         asked = numbered.where(F.col("g") == g).toPandas()
-        held = spark.sparkContext.broadcast(_by_length(asked["query_id"].tolist(), asked["v"].tolist()))
+        held = spark.sparkContext.broadcast(_by_length(asked["query_id"].tolist(), asked["v"].tolist(), not distance))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 batch = batch.sort_values(key, kind="stable").reset_index(drop=True)
-                for at, unit in _by_length(np.arange(len(batch)), batch["v"].tolist()).values():
+                for at, unit in _by_length(np.arange(len(batch)), batch["v"].tolist(), not distance).values():
                     names, asked = held.value.get(unit.shape[1], (None, None))
                     if names is None:
                         continue
                     extra = batch["_bonus"].to_numpy()[at]
                     for begin in range(0, len(names), BLOCK_QUERIES):
-                        score = np.round(np.round(asked[begin : begin + BLOCK_QUERIES] @ unit.T, 6) + extra, 6)
+                        block = asked[begin : begin + BLOCK_QUERIES]
+                        score = block @ unit.T
+                        if distance:
+                            squares = (block * block).sum(1)[:, None] + (unit * unit).sum(1) - 2 * score
+                            score = 1 / (1 + np.sqrt(np.maximum(squares, 0.0)))
+                        score = np.round(np.round(score, 6) + extra, 6)
                         row, place = _firsts(score, n)
                         found = batch.iloc[at[place]][key].reset_index(drop=True)
                         found.insert(0, "query_id", names[begin + row])
@@ -117,8 +132,8 @@ def best_cosines(vectors: DataFrame, queries: DataFrame, key: list[str], n: int,
     return top(out, ["query_id"], [F.desc("score"), *map(F.col, key)], n, key[-1])
 
 
-def _by_length(names, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Names and unit vectors by the vectors' length, in order; nulls and zero vectors left out."""
+def _by_length(names, vectors: list, unit: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Names and vectors by the vectors' length, in order, nulls left out; as unit vectors without those of zeros."""
     groups: dict[int, list] = {}
     for name, v in zip(names, vectors):
         if v is not None and len(v):
@@ -126,6 +141,9 @@ def _by_length(names, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]
     out = {}
     for length, pairs in groups.items():
         x = np.array([v for _, v in pairs], dtype=np.float64)
+        if not unit:
+            out[length] = np.array([p for p, _ in pairs]), x
+            continue
         norm = np.sqrt((x * x).sum(1))
         keep = norm > 0
         if keep.any():
@@ -231,3 +249,34 @@ def code_search(nodes: DataFrame, queries: DataFrame, n: int, language: str | No
     rows = lookups.language(nodes)
     rows = rows if language is None else rows.where(F.col("language") == language)
     return top(keyword_like(rows, queries), ["query"], [F.desc("score"), F.col("graph_id"), F.col("id")], n, "id")
+
+
+def embed(texts: DataFrame, dimensions: int = 64) -> DataFrame:
+    """Vectors of texts (graph_id, id, text) as hashed bags of words, of unit length: ``graph_id, id, vector``.
+
+    A word counts in the place its MD5 names, so a text has the same vector on every machine. Texts without words, and
+    null ones, have a vector of zeros. Words are told apart by built-in expressions, batches of them are hashed together.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for batch in batches:
+            words = batch.column("words")
+            flat = words.flatten().dictionary_encode()
+            names = flat.dictionary.to_pylist()
+            for w in names:
+                if w not in place:
+                    place[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions
+            if len(place) > KEPT_WORDS:
+                place = {w: place[w] for w in names}
+            x = np.zeros((batch.num_rows, dimensions))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+            if len(row):
+                np.add.at(x, (row, np.array([place[w] for w in names])[flat.indices.to_numpy(zero_copy_only=False)]), 1)
+            norm = np.sqrt((x * x).sum(1))
+            x /= np.where(norm > 0, norm, 1)[:, None]
+            offsets = pa.array(np.arange(batch.num_rows + 1) * dimensions, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("graph_id"), batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["graph_id", "id", "vector"])
+
+    rows = texts.select("graph_id", "id", terms(F.col("text")).alias("words"))
+    return rows.mapInArrow(count, "graph_id string, id string, vector array<double>")

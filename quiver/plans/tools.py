@@ -205,6 +205,16 @@ def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     return S.best_cosines(rows, asked, ["graph_id", "id"], 10)
 
 
+def distance_search(spark: SparkSession, d: str) -> DataFrame:
+    v = search._vectors(spark, d)
+    return S.nearest_by_distance(v, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
+def embed_batch(spark: SparkSession, d: str) -> DataFrame:
+    out = S.embed(search.embedding_text(spark, d))
+    return out.select("graph_id", "id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 def dispatched_search(spark: SparkSession, d: str) -> DataFrame:
     """What an unknown kind of search gives: the hybrid."""
     return S.search("no such kind", hybrid=lambda: hybrid_search(spark, d))
@@ -216,6 +226,7 @@ QUERIES = {
         embedding_store, snippet_lookup, community_store, community_cache, graph_json, sync_full_nodes, sync_full_edges, sync_full_hashes,
         sync_targeted_nodes, freshness_prefilter, hash_stream, distinct_stream, retrieve, fallback_retrieve, inspect_pages, hotspot_files,
         cycle_ring, index_status, declared_surface, change_briefing, hybrid_search, word_search, semantic_search, dispatched_search,
+        distance_search, embed_batch,
     )
 }
 
@@ -345,3 +356,13 @@ k AS (SELECT one.* FROM one JOIN n USING (graph_id, id) WHERE list_has_any(label
 s AS (SELECT q.vec_id AS query_id, k.graph_id, k.id, round(list_cosine_similarity(k.v, q.v), 6) AS score FROM k JOIN v q ON q.vec_id % 100 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, graph_id, id)::INTEGER AS place FROM s QUALIFY place <= 10""",
 }
+SQL["distance_search"] = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round(1 / (1 + list_distance(v.v, q.v)), 6) AS score FROM v JOIN v q ON q.vec_id % 100 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS place FROM s QUALIFY place <= 10"""
+SQL["embed_batch"] = (
+    "WITH tx AS (" + search.SQL["embedding_text"] + """),
+b AS (SELECT graph_id, id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS p FROM tx),
+c AS (SELECT graph_id, id, list_transform(range(64), lambda i: len(list_filter(p, lambda x: x = i))::DOUBLE) AS c FROM b),
+z AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS norm FROM c)
+SELECT graph_id, id, list_transform(c, lambda x: CASE WHEN norm > 0 THEN round(x / norm, 6) ELSE 0.0::DOUBLE END) AS vector FROM z"""
+)

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quiver.operators import sync
@@ -66,3 +67,35 @@ def test_merge_latest_is_repeatable(spark, tmp_path):
     merge(rows("2", 2), 1)
     merge(rows("2", 2), 1)
     assert [r.content_hash for r in spark.read.parquet(str(tmp_path / "s" / "v1")).collect()] == ["2"]
+
+
+def test_git_changes_and_aliases(spark, tmp_path):
+    import subprocess
+
+    from quiver.sources import repositories
+
+    root = tmp_path / "r"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    with pytest.raises(repositories.NoRepository):
+        repositories.tracked_files(spark, str(tmp_path), "g")
+    git("init", "-q")
+    (root / "a.py").write_text("x = 1\n" * 20)
+    (root / "b c.py").write_text("y = 1\n")
+    (root / "d.py").write_text("z = 1\n")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    git("mv", "a.py", "e.py")
+    (root / "b c.py").write_text("y = 2\n")
+    (root / "d.py").unlink()
+    (root / "f.py").write_text("f")
+    git("add", "f.py")
+    got = {tuple(r)[1:] for r in repositories.changes_since(spark, str(root), "g", "HEAD").collect()}
+    assert got == {("e.py", "R", "a.py"), ("b c.py", "M", None), ("d.py", "D", None), ("f.py", "A", None)}
+    assert {r.file_path for r in repositories.tracked_files(spark, str(root), "g").collect()} == {"b c.py", "d.py", "e.py", "f.py"}
+    with pytest.raises(ValueError, match="no commit"):
+        repositories.changes_since(spark, str(root), "g", "nowhere")
+    (root / "base.json").write_text('{ // base\n "compilerOptions": {"baseUrl": "src", "paths": {"@a/*": ["lib/*", "x/*"], "b": ["b.ts",],}, /* c */ } }')
+    (root / "tsconfig.json").write_text('{"extends": "./base", "compilerOptions": {}}')
+    assert {tuple(r)[1:] for r in repositories.path_aliases(spark, str(root), "g").collect()} == {("@a/*", "src/lib/*"), ("b", "src/b.ts")}
+    assert repositories.path_aliases(spark, str(tmp_path), "g").count() == 0
