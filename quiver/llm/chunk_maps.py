@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from quiver.llm import script_grammar
+from quiver.sources import script_grammar
 
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 

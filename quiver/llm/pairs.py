@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm import chunk_maps, script_grammar
+from quiver.llm import chunk_maps
+from quiver.sources import script_grammar
 from quiver.session import checkpointed
 
 #: Share of all documentation from which on a phrase, put to at least so many names, is a placeholder; so there are at

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm import script_grammar
+from quiver.sources import script_grammar
 from quiver.llm.chunk_maps import Entry, Piece, join, read, start, verdict
 
 #: Characters of a chunk, characters of a text from which its chunks are spread over tasks, chunks that such a task

@@ -8,7 +8,8 @@ import pytest
 
 pytest.importorskip("quiver.llm")
 
-from quiver.llm import chunk_maps, handwritten, leaks, neighbours, pairs, reading, script_grammar, syntax, tokenizer  # noqa: E402
+from quiver.llm import chunk_maps, handwritten, leaks, neighbours, pairs, reading, syntax, tokenizer  # noqa: E402
+from quiver.sources import script_grammar  # noqa: E402
 
 DOC = "doc_id bigint, text string, file_path string, lang string, graph_id string, source string"
 
