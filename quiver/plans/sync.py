@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quiver.operators import incremental
 from quiver.operators import sync as Y
 from quiver.sources import facts
+from quiver.sources import script_facts as scripts
 from quiver.streaming import debounce
 from quiver.session import shared_folder, table
 
@@ -76,6 +77,14 @@ def function_rules(spark: SparkSession, d: str) -> DataFrame:
     return facts.function_diagnostics(facts.python_facts(table(spark, d, "documents")))
 
 
+def script_facts(spark: SparkSession, d: str) -> DataFrame:
+    return scripts.script_facts(table(spark, d, "documents"))
+
+
+def script_rules(spark: SparkSession, d: str) -> DataFrame:
+    return facts.function_diagnostics(scripts.script_facts(table(spark, d, "documents")))
+
+
 def code_snippets(spark: SparkSession, d: str) -> DataFrame:
     spans = table(spark, d, "nodes").where("line_start is not null and line_end is not null").select("graph_id", "id", "file_path", "line_start", "line_end").distinct()
     return facts.snippets(table(spark, d, "documents"), spans)
@@ -85,7 +94,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         change_report, added_modified, dirty_files, freshness, freshness_rollup, source_fingerprint, content_hashes, debounce_sessions,
-        streaming_debounce, python_facts, function_rules, code_snippets,
+        streaming_debounce, python_facts, function_rules, script_facts, script_rules, code_snippets,
     )
 }
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiver.operators import sync
-from quiver.sources import facts, files
+from quiver.sources import facts, files, script_facts
 from quiver.streaming import debounce
 
 
@@ -99,3 +99,27 @@ def test_git_changes_and_aliases(spark, tmp_path):
     (root / "tsconfig.json").write_text('{"extends": "./base", "compilerOptions": {}}')
     assert {tuple(r)[1:] for r in repositories.path_aliases(spark, str(root), "g").collect()} == {("@a/*", "src/lib/*"), ("b", "src/b.ts")}
     assert repositories.path_aliases(spark, str(tmp_path), "g").count() == 0
+
+
+def test_script_facts(spark):
+    text = """import React, { useState as us, type Props, unused } from "react";
+import * as ns from './ns';
+import './side';
+export interface Shape { area(): number }
+export class Circle<T> extends Base implements Shape {
+  constructor(private r: number, x) { super(); }
+  static async make(a: string, b = 1): Promise<Circle> { if (a && b) { return new Circle(ns.f(a)); } }
+}
+export const add = async (a: number, b): number => { return us(a) ? b : `${{ unused: 1 }}` };
+const C = (p: Props) => <div>{p.x}</div>;
+"""
+    docs = spark.createDataFrame([(1, text, "a.tsx"), (2, None, "b.ts"), (3, "", "c.js"), (4, "let = (", "d.ts"), (5, "x", "e.py")], "doc_id bigint, text string, file_path string")
+    got = [tuple(r) for r in script_facts.script_facts(docs).collect()]
+    kinds = {(r[1], r[3]): r for r in got if r[0] == 1}
+    assert {k for k in kinds if "import" in k[0]} == {("import", "React"), ("import", "us"), ("import", "Props"), ("unused_import", "unused"), ("import", "ns"), ("import", "./side")}
+    assert kinds["class", "Circle"][4:6] == (5, 8) and kinds["class", "Circle"][9] == "extends Base implements Shape" and ("interface", "Shape") in kinds
+    assert kinds["method", "Circle.constructor"][6:9] == (2, 1, 1) and kinds["method", "Circle.make"][6:9] == (2, 1, 3)
+    assert kinds["function", "add"][6:9] == (2, 1, 2) and ("function", "C") in kinds and ("call", "Circle.make.f") in kinds and ("call", "area") not in kinds
+    assert {r[0] for r in got} == {1, 4} and [r[1] for r in got if r[0] == 4][0] == "error"
+    rules = facts.function_diagnostics(script_facts.script_facts(docs))
+    assert ("unused", "unused_import") in {(r.qualname, r.rule) for r in rules.collect()}
