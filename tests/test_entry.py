@@ -8,7 +8,6 @@ import pytest
 from quiver.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"findings"}
 
 
 def plain(v):
@@ -30,7 +29,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
