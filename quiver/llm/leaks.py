@@ -247,7 +247,8 @@ def leaked(texts: list[str], passages: Passages) -> list[tuple[int, int, float]]
         size = np.array([len(p) for p in pieces])
         edits = _edits(pieces, windows, passages.band)
         share = some.own.to_numpy()
-        good = (edits <= EDITS * size) & (share >= np.where(edits <= RATE * size + 2, SHARE * (1 - RATE * Q), OWN))  # 2: edits beside the ends
+        whole = passages.length[some.part.to_numpy(dtype=np.int64)]
+        good = (size >= SPAN * whole) & (edits <= EDITS * size) & (share >= np.where(edits <= RATE * size + 2, SHARE * (1 - RATE * Q), OWN))  # 2: edits beside the ends
         for d, p, x in zip(some.doc[good], some.part[good], share[good].tolist()):
             out += [(int(d), o, x) for o in passages.owners[p]]
     return out
