@@ -186,7 +186,7 @@ def placement_ranking(references: DataFrame, candidates: DataFrame, allowed: Dat
     c = candidates.select("module").distinct().alias("c")
     r = references.alias("r")
     a = allowed.select("module", "target").distinct().withColumn("ok", F.lit(True)).alias("a")
-    rows = r.join(F.broadcast(c), F.lit(True)).join(
+    rows = r.join(c, F.lit(True)).join(
         a, (F.col("a.module") == F.col("c.module")) & (F.col("a.target") == F.col("r.module")), "left"
     )
     same, unknown = F.col("c.module") == F.col("r.module"), F.col("r.module").isNull()

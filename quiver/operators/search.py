@@ -31,7 +31,7 @@ def keyword_like(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 
     `queries` (query) are what people typed, a few rows, compared with every node; blank ones find nothing.
     """
-    q = F.broadcast(queries.where(F.trim("query") != "").select("query").distinct())
+    q = queries.where(F.trim("query") != "").select("query").distinct()
     text = F.lower("query")
     in_id = F.contains(F.lower("id"), text)
     hit = in_id | F.contains(F.lower(F.coalesce("properties", F.lit(""))), text) | F.contains(F.lower(F.array_join("labels", " ")), text)
@@ -49,9 +49,7 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     `documents` are (doc_id, text). A document must hold the query's words next to each other; it is then scored by
     BM25 over the phrase as one term. Statistics are of all documents. Blank queries find nothing.
     """
-    q = F.broadcast(
-        queries.select("query", F.array_join(terms(F.col("query")), " ").alias("phrase")).where("phrase <> ''").distinct()
-    )
+    q = queries.select("query", F.array_join(terms(F.col("query")), " ").alias("phrase")).where("phrase <> ''").distinct()
     words = documents.select("doc_id", terms(F.col("text")).alias("w")).select(
         "doc_id", F.size("w").alias("length"), F.concat(F.lit("  "), F.array_join("w", "  "), F.lit("  ")).alias("line")
     )
@@ -61,7 +59,7 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     tf = (F.length("line") - F.length(F.replace("line", pattern, F.lit("")))) / F.length(pattern)
     hits = words.join(q, F.contains(F.col("line"), pattern)).select("query", "doc_id", "length", tf.alias("tf"))
     df = hits.groupBy("query").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(df), "query").crossJoin(F.broadcast(size))  # one row of statistics
+    rows = hits.join(df, "query").crossJoin(F.broadcast(size))  # one row of statistics
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = rows.select("query", "doc_id", F.round(idf * weight, 6).alias("score"))
@@ -193,7 +191,7 @@ def symbol_search(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``query, graph_id, id, tier``, per graph; `queries` is a few rows.
     """
-    q = F.broadcast(queries.where(F.trim("query") != "").select("query").distinct())
+    q = queries.where(F.trim("query") != "").select("query").distinct()
     text = F.lower("query")
     fuzzy = F.contains(F.lower("id"), text) | F.contains(F.lower(F.coalesce("name", F.lit(""))), text) | F.contains(F.lower(F.coalesce("qualname", F.lit(""))), text)
     rows = nodes.join(q, fuzzy).select(
