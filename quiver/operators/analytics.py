@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions import paths
+from quiver.operators import whole
 from quiver.operators.traverse import steps
 from quiver.session import checkpointed_in_loop as checkpointed
 
@@ -209,14 +210,27 @@ def _settled(weights: DataFrame, label: DataFrame) -> tuple[DataFrame, bool]:
 def louvain(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Communities by moves that raise modularity, then of the communities: ``graph_id, id, community`` (least member).
 
-    Rounds go on until no unit wants to move, levels until no two communities want to merge, and both start again from
-    the ids with what was found until no id wants to move either; nothing is counted. In the result no move of a single
-    id, to another community or to one of its own, and no merger of two communities raises modularity. Every round
-    raises it (see `_moves`), so there is an end. Deterministic. Nodes of a graph without edges form one community.
+    A graph that fits a task is solved in it (`whole.communities`), a larger one by rounds over the tables. Both go on until
+    no unit wants to move, by levels until no two communities want to merge, and start again from the ids with what was
+    found until no id wants to move either; nothing is counted. In the result no move of a single id, to another
+    community or to one of its own, and no merger of two communities raises modularity. Every move or round raises it
+    (see `_moves`), so there is an end. Deterministic. Nodes of a graph without edges form one community.
     """
-    base = checkpointed(undirected(edges).withColumn("w", F.lit(1).cast("bigint")))
+    near = checkpointed(undirected(edges))
+    found = whole.solved(near, whole.communities, "unit", _communities_by_rounds)
+    member = nodes.select("graph_id", "id").join(found, ["graph_id", "id"], "left").select("graph_id", "id", F.coalesce("unit", "id").alias("unit"))
+    member = checkpointed(member)
+    names = member.groupBy("graph_id", "unit").agg(F.min("id").alias("community"))
+    out = member.join(names, ["graph_id", "unit"])
+    empty = member.select("graph_id", "id").join(near.select("graph_id").distinct(), "graph_id", "left_anti").groupBy("graph_id").agg(F.min("id").alias("only"))
+    return out.join(empty, "graph_id", "left").select("graph_id", "id", F.coalesce("only", "community").alias("community"))
+
+
+def _communities_by_rounds(near: DataFrame) -> DataFrame:
+    """``graph_id, id, unit`` of all ids of the links `near`, a label for each community."""
+    base = checkpointed(near.withColumn("w", F.lit(1).cast("bigint")))
     m2 = checkpointed(base.groupBy("graph_id").agg(F.sum("w").alias("m2")))
-    member = checkpointed(nodes.select("graph_id", "id", F.col("id").alias("unit")))
+    member = checkpointed(base.select("graph_id", "id").distinct().withColumn("unit", F.col("id")))
     fresh = True
     while True:
         weights, level = base, 0
@@ -243,10 +257,7 @@ def louvain(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if level <= 1:
             break
         fresh = False
-    names = member.groupBy("graph_id", "unit").agg(F.min("id").alias("community"))
-    out = member.join(names, ["graph_id", "unit"])
-    empty = nodes.join(m2, "graph_id", "left_anti").groupBy("graph_id").agg(F.min("id").alias("only"))
-    return out.join(empty, "graph_id", "left").select("graph_id", "id", F.coalesce("only", "community").alias("community"))
+    return member
 
 
 def community_stats(edges: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiver.functions import paths
-from quiver.operators import analytics, dependencies, graph, lookups, rules, search, sync, traverse
+from quiver.operators import analytics, dependencies, graph, lookups, rules, search, sync, traverse, whole
 
 T = datetime(2025, 1, 1)
 N = "graph_id string, id string, labels array<string>, name string, file_path string, resolved_source string, is_external boolean, loaded_at timestamp, deleted_at timestamp"
@@ -153,6 +153,38 @@ def test_louvain_leaves_no_move_that_raises_modularity(spark):
     assert not [(some, to) for some, to in moves + mergers if raised(some, to) > 0]
 
 
+def _jobs(spark, name, run):
+    """What `run` gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _in_graphs(spark, rows):
+    return spark.createDataFrame([(g, s, t, "CALLS", None, None, None, T) for g, s, t in rows], E)
+
+
+def test_louvain_takes_few_jobs(spark):
+    dice = random.Random(7)
+    rows = [(f"g{g}", f"n{a}", f"n{b}") for g in range(3) for a, b in (dice.sample(range(60), 2) for _ in range(150))]
+    n = spark.createDataFrame([(f"g{g}", f"n{x}") for g in range(3) for x in range(60)], "graph_id string, id string")
+    e = _in_graphs(spark, rows)
+    got, jobs = _jobs(spark, "louvain", lambda: analytics.modularity(e, analytics.louvain(e, n)).collect())
+    assert len(got) == 3 and all(r.modularity > 0.3 for r in got) and jobs < 40
+
+
+@pytest.mark.parametrize("limit", [0, 20, 1000])
+def test_louvain_of_large_and_small_graphs(spark, monkeypatch, limit):
+    monkeypatch.setattr(whole, "TASK_LINKS", limit)
+    cliques = [(a, b) for g in ("abcd", "wxyz") for a in g for b in g if a < b] + [("a", "w")]
+    e = _in_graphs(spark, [("g", a, b) for a, b in cliques] + [("h", "p", "q"), ("h", "q", "outside"), (None, "p", "q")])
+    n = spark.createDataFrame([("g", x) for x in "abcdwxyz"] + [("h", x) for x in "pq1"] + [("i", x) for x in "12"], "graph_id string, id string")
+    got = {(r.graph_id, r.id): r.community for r in analytics.louvain(e, n).collect()}
+    assert got == {("g", x): "a" if x in "abcd" else "w" for x in "abcdwxyz"} | {("h", "p"): "p", ("h", "q"): "p", ("h", "1"): "1", ("i", "1"): "1", ("i", "2"): "1"}
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "The settings file, the settings FILE."), (2, "settings of a file"), (3, None), (4, "")], "doc_id bigint, text string")
     q = spark.createDataFrame([("settings file",), (" ",)], "query string")
