@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiver.operators import whole
 from quiver.operators.lookups import both_ways
 from quiver.session import checkpointed_in_loop as checkpointed
 from quiver.session import width
@@ -176,10 +177,19 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """Strongly connected component of every id, named by its least member: ``graph_id, id, component``.
 
-    Ids without a way in or out are peeled off first; then each id takes the least id that reaches it as its colour, and
+    A graph that fits a task is solved in it, a larger one by rounds over the tables.
+    """
+    # an end that is missing leaves the other one by itself
+    links = checkpointed(edges.select("graph_id", F.coalesce("source", "target").alias("id"), F.coalesce("target", "source").alias("next")).where("id is not null").distinct())
+    return checkpointed(whole.solved(links, whole.strongly_connected, "component", _strong_by_rounds))
+
+
+def _strong_by_rounds(links: DataFrame) -> DataFrame:
+    """Ids without a way in or out are peeled off first; then each id takes the least id that reaches it as its colour, and
     within a colour those that reach the colour's root are a component; the rest goes on. Graphs run side by side.
     """
-    rest = checkpointed(edges.select("graph_id", "source", "target").where("source <> target").distinct())
+    edges = links.select("graph_id", F.col("id").alias("source"), F.col("next").alias("target"))
+    rest = checkpointed(edges.where("source <> target"))
     ids = edges.select("graph_id", F.col("source").alias("id")).union(edges.select("graph_id", "target")).distinct()
     found = None
     while True:

@@ -185,6 +185,27 @@ def test_louvain_of_large_and_small_graphs(spark, monkeypatch, limit):
     assert got == {("g", x): "a" if x in "abcd" else "w" for x in "abcdwxyz"} | {("h", "p"): "p", ("h", "q"): "p", ("h", "1"): "1", ("i", "1"): "1", ("i", "2"): "1"}
 
 
+@pytest.mark.parametrize("limit", [0, 12, 1000])
+def test_strong_components_of_large_and_small_graphs(spark, monkeypatch, limit):
+    monkeypatch.setattr(whole, "TASK_LINKS", limit)
+    dice = random.Random(3)
+    rows = [(g, f"n{dice.randrange(9)}", f"n{dice.randrange(9)}") for g, k in (("g", 14), ("h", 9), ("i", 5)) for _ in range(k)] + [(None, "x", "y"), (None, "y", "x")]
+    got = {(r.graph_id, r.id): r.component for r in traverse.strong_components(_in_graphs(spark, rows)).collect()}
+    expected = {(None, "x"): "x", (None, "y"): "y"}
+    for g in "ghi":
+        of = [(s, t) for h, s, t in rows if h == g]
+        far = {x: set(_reach(of, x, 9)) for x in {y for r in of for y in r}}
+        expected |= {(g, x): min(y for y in far if y in far[x] and x in far[y]) for x in far}
+    assert got == expected
+
+
+def test_strong_components_take_few_jobs(spark):
+    chain = [(f"n{x:02}", f"n{x + 1:02}") for x in range(30)] + [("n20", "n10")]
+    e = edges(spark, [(s, t, "CALLS", None) for s, t in chain])
+    got, jobs = _jobs(spark, "strong", lambda: traverse.strong_components(e).collect())
+    assert {r.id for r in got if r.component == "n10"} == {f"n{x}" for x in range(10, 21)} and len(got) == 31 and jobs < 15
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "The settings file, the settings FILE."), (2, "settings of a file"), (3, None), (4, "")], "doc_id bigint, text string")
     q = spark.createDataFrame([("settings file",), (" ",)], "query string")
