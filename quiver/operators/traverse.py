@@ -150,12 +150,19 @@ def all_paths(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected component of every node, named by its least id: ``graph_id, id, component``.
 
-    Labels move along edges and then along labels, so long chains take logarithmically many rounds. Nodes without edges
-    are components of their own; ends without a node belong to one too.
+    Nodes without edges are components of their own; ends without a node belong to one too. A graph that fits a task is
+    solved in it, a larger one by rounds over the tables.
     """
-    both = steps(edges, "both").where("id <> next")
+    pairs = steps(edges, "down").where("id <> next")
+    own = nodes.where(F.col("id").isNotNull()).select("graph_id", "id", F.col("id").alias("next"))
+    return whole.solved(pairs.unionByName(own), whole.connected, "component", _connected_by_rounds)
+
+
+def _connected_by_rounds(links: DataFrame) -> DataFrame:
+    """Labels move along links and then along labels, so long chains take logarithmically many rounds."""
+    both = steps(links.select("graph_id", F.col("id").alias("source"), F.col("next").alias("target")), "both")
     with held(both, "graph_id", "next") as near_to:
-        ids = nodes.select("graph_id", "id").union(near_to.select("graph_id", "id")).distinct()
+        ids = near_to.select("graph_id", "id").distinct()
         labels = checkpointed(ids.withColumn("component", F.col("id")))
         while True:
             near = near_to.join(labels.select("graph_id", F.col("id").alias("next"), F.col("component").alias("c")).hint("shuffle_hash"), ["graph_id", "next"])

@@ -206,6 +206,27 @@ def test_strong_components_take_few_jobs(spark):
     assert {r.id for r in got if r.component == "n10"} == {f"n{x}" for x in range(10, 21)} and len(got) == 31 and jobs < 15
 
 
+@pytest.mark.parametrize("limit", [0, 20, 1000])
+def test_components_of_large_and_small_graphs(spark, monkeypatch, limit):
+    monkeypatch.setattr(whole, "TASK_LINKS", limit)
+    dice = random.Random(11)
+    rows = [(g, f"n{dice.randrange(30):02}", f"n{dice.randrange(30):02}") for g, k in (("g", 22), ("h", 12)) for _ in range(k)] + [(None, "x", "y"), ("i", "a", "a")]
+    n = spark.createDataFrame([(g, f"n{x:02}") for g in "gh" for x in range(0, 35, 5)] + [(None, "x")], "graph_id string, id string")
+    got = {(r.graph_id, r.id): r.component for r in traverse.components(_in_graphs(spark, rows), n).collect()}
+    expected = {(None, "x"): "x", (None, "y"): "y"}
+    for g in "gh":
+        of = [p for h, s, t in rows if h == g and s != t for p in ((s, t), (t, s))]
+        expected |= {(g, x): min(_reach(of, x, 30)) for x in {s for s, _ in of} | {f"n{y:02}" for y in range(0, 35, 5)}}
+    assert got == expected
+
+
+def test_components_shuffle_the_links_once(spark):
+    chain = edges(spark, [(f"n{x:03}", f"n{x + 1:03}", "CALLS", None) for x in range(200)])
+    n = spark.createDataFrame([("g", "n000")], "graph_id string, id string")
+    got, jobs = _jobs(spark, "components", lambda: traverse.components(chain, n).collect())
+    assert {r.component for r in got} == {"n000"} and len(got) == 201 and jobs < 12
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "The settings file, the settings FILE."), (2, "settings of a file"), (3, None), (4, "")], "doc_id bigint, text string")
     q = spark.createDataFrame([("settings file",), (" ",)], "query string")
