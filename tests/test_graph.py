@@ -175,6 +175,13 @@ def test_louvain_takes_few_jobs(spark):
     assert len(got) == 3 and all(r.modularity > 0.3 for r in got) and jobs < 40
 
 
+def test_louvain_of_many_graphs_takes_few_jobs(spark):
+    e = _in_graphs(spark, [(f"g{g}", a, b) for g in range(30) for a, b in ("ab", "bc", "ca", "xy", "yz", "zx", "ax")])
+    n = spark.createDataFrame([(f"g{g}", x) for g in range(30) for x in "abcxyz"], "graph_id string, id string")
+    got, jobs = _jobs(spark, "louvain of many", lambda: analytics.louvain(e, n).collect())
+    assert len(got) == 180 and {(r.id, r.community) for r in got} == {(x, "a" if x in "abc" else "x") for x in "abcxyz"} and jobs < 25
+
+
 @pytest.mark.parametrize("limit", [0, 20, 1000])
 def test_louvain_of_large_and_small_graphs(spark, monkeypatch, limit):
     monkeypatch.setattr(whole, "TASK_LINKS", limit)
